@@ -117,7 +117,7 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int =
     return found[:most] or [(room, [])]
 
 
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[Pattern, int]]:
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[Pattern, int]]:
     """Fillings and how often each is used, for all the counts, in as few bins as the search finds.
 
     It stops at a proof (the bins are no more than ceil(total / capacity)) or
@@ -197,7 +197,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part i
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with their sequence and their place in it.
 
     A document longer than capacity is cut into pieces of capacity tokens, of
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         coder, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for run in slices(batch, 1, 8 << 20):
+            for run in slices(batch):
                 ids, bounds = coder.encode(run.column(1))
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)
