@@ -20,8 +20,8 @@ from xylem.llm.common import ragged
 WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 #: A space between white space, or between white space and the end.
 UNSAFE = rf"{WHITE} (?:{WHITE}|$)"
-#: Words that a worker remembers before it starts anew: about 200 MB.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, about 120 MB; beyond it, those that the text at hand doesn't have are forgotten.
+REMEMBERED = 600_000
 
 
 class WordCachedEncoder:
@@ -35,14 +35,22 @@ class WordCachedEncoder:
         (self.newline,) = self._encode(["\n"])[0]
         self._forget()
 
-    def _forget(self) -> None:
+    def _forget(self, words: list[str] = ()) -> None:
+        """Forget all but these words."""
+        kept = [(w, self.known[w]) for w in words if w in self.known] if words else []
+        at = np.array([0, *(k for _, k in kept)], np.int64)
+        starts, sizes = (self.starts[at], self.lengths[at]) if words else (None, None)
+        flat = self.ids[ragged(starts, sizes)] if words else None
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
-        self.count = 0
-        self._store([[] if self.end_id is None else [self.end_id]])  # entry 0
+        self.used = self.count = 0
+        if words:
+            self._append(flat, sizes)
+            self.known = {w: k + 1 for k, (w, _) in enumerate(kept)}
+        else:
+            self._store([[] if self.end_id is None else [self.end_id]])  # entry 0
 
     def _store(self, lists: list[list[int]]) -> int:
         """Keep lists of ids; gives the entry of the first."""
@@ -94,7 +102,7 @@ class WordCachedEncoder:
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) + n > self.remembered:
-            self._forget()
+            self._forget(words)
         entry = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if (new := entry < 0).any():
             entry[new] = self._learn(coded.dictionary.filter(pa.array(new)))
