@@ -39,8 +39,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from xylem.llm.common import U64, cut, discard, doc_frame, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes
+from xylem.llm.common import U64, cut, discard, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes
 from xylem.llm.ngram_join import _filter_of, _in_filter
 
 LENGTH = 50
@@ -397,27 +398,29 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the text that is left.
+def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the text that is left; carry adds columns of docs.
 
     Spans needn't begin and end between characters; in kept, the rests of cut
     characters are dropped.
     """
     spark = docs.sparkSession
-    docs = doc_frame(docs, id_col, text_col)
-    spans = repeated_spans(docs, length)
+    carried = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry)), {"ignoreNullFields": "false"}) if carry else F.lit(None).cast("string")
+    kinds = {c: docs.schema[c].dataType for c in carry}
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    spans = repeated_spans(docs.select("doc_id", "text"), length)
     some = spark.sparkContext.broadcast(_filter_of(spans.select(F.col("doc_id").alias("id"))))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, carried string" + ", kept string" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def row(doc_id, text, removed):
+    def row(doc_id, text, carried, removed):
         left = _kept(text, removed)
-        one = [doc_id, len(text), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest()]
+        one = [doc_id, len(text), len(text) - len(left), len(removed), hashlib.sha256(left).hexdigest(), carried]
         return [*one, left.decode("utf-8", "ignore")] if with_text else one
 
     def table(rows):
-        kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        types = [pa.int64()] * 4 + [pa.string()] * (2 + with_text)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def split(batches, inside):
         for batch in batches:
@@ -428,11 +431,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
         none = np.empty((0, 2), np.int64)
         for batch in split(batches, False):
             for run in slices(batch):
-                yield table([row(d, (t or "").encode(), none) for d, t in zip(run.column(0).to_pylist(), run.column(1).to_pylist(), strict=True)])
+                yield table([row(d, (t or "").encode(), c, none) for d, t, c in zip(*(x.to_pylist() for x in run.columns), strict=True)])
 
     def some_texts(batches):
         for batch in split(batches, True):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "text", "runs"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], ["doc_id", "text", "carried", "runs"])
 
     def apply(batches):
         at, texts, runs, out, size = None, [], [], [], 0
@@ -443,12 +446,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
             if len(one):
                 done = merged(np.zeros(len(one), np.int64), one[:, 0], one[:, 1])
                 one = np.frombuffer(done.column(1)[0].as_py(), np.int64).reshape(-1, 2)
-            for text in texts:
-                out.append(row(at, text, one))
+            for text, carried in texts:
+                out.append(row(at, text, carried, one))
                 size += len(text)
 
         for batch in batches:
-            for doc, text, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, carried, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc != at:
                     if texts:
                         close()
@@ -457,7 +460,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
                             out, size = [], 0
                     at, texts, runs = doc, [], []
                 if run is None:
-                    texts.append((text or "").encode())
+                    texts.append(((text or "").encode(), carried))
                 else:
                     runs.append(run)
         if texts:
@@ -465,6 +468,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
         if out:
             yield table(out)
 
-    texts = docs.mapInArrow(some_texts, "doc_id long, text string, runs binary")
-    met = texts.unionByName(spans.select("doc_id", F.lit(None).cast("string").alias("text"), "runs")).repartition("doc_id").sortWithinPartitions("doc_id", F.col("runs").asc_nulls_first())
-    return docs.mapInArrow(whole, schema).unionByName(met.mapInArrow(apply, schema))
+    none = F.lit(None).cast("string")
+    texts = docs.mapInArrow(some_texts, "doc_id long, text string, carried string, runs binary")
+    gone = spans.select("doc_id", none.alias("text"), none.alias("carried"), "runs")
+    met = texts.unionByName(gone).repartition("doc_id").sortWithinPartitions("doc_id", F.col("runs").asc_nulls_first())
+    out = docs.mapInArrow(whole, schema).unionByName(met.mapInArrow(apply, schema))
+    fields = F.from_json("carried", T.StructType([T.StructField(c, k) for c, k in kinds.items()])) if carry else None
+    return out.select(*(c for c in names if c != "carried"), *(fields[c].alias(c) for c in carry))
