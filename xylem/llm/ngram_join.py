@@ -14,14 +14,14 @@ corpus, ties by hash), which any reader of the sketch can repeat.
   set sizes and the mean list length that the sketch shows. Sets just below
   the boundary, which may have partners above it, take both kinds of keys.
 
-A pair of sets with a common key is a candidate; candidates are verified on
-whole sets. Equal sets are one class from the start. For components not every
-link is needed: within a key's list, each class is first compared with one
-class of the list (its hub, of a size that can link), and of these hubs with
-the one met most often. Then classes with a common key that are still in
-different components are compared, all of them, so no link between different
-components is left out. Groups of near copies thus cost one comparison a
-member, not all pairs.
+A pair of sets with a common key is a candidate if the members after the key
+in the order leave room for as many as it must share; candidates are verified
+on whole sets. Equal sets are one class from the start. For components not
+every link is needed: in a key's list, each class is first compared with one
+class of the list, its hub, and of its hubs with the one met most often. Then
+candidates that are still in different components are compared, all of them,
+so no link between different components is left out. Groups of near copies
+thus cost about one comparison a member, not all pairs.
 
 Nulls: a null text is empty; texts without words have no set and link with
 nothing. A text of one to four words has its whole word sequence as its set.
@@ -31,12 +31,10 @@ are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.common import U64, cut, discard, doc_frame, mix64, slices
@@ -48,7 +46,7 @@ COUNTERS, BLOCKS = 1 << 22, 64
 #: Bits of the filter of documents to verify: 16 MB, whatever the corpus; where it fills up, more sets are shuffled.
 FILTER_BITS = 1 << 27
 #: What scanning one entry of a list costs beside shuffling one key.
-SCAN_COST = 0.1
+SCAN_COST = 0.01
 #: Members compared with one copy of a hub's set.
 HUB_MEMBERS = 256
 
@@ -108,59 +106,124 @@ def boundary(histogram: dict[int, int], list_length: float, t: tuple[int, int])
     return int(sizes[best - 1]) if best else 0
 
 
-def set_keys(members: np.ndarray, rank: np.ndarray, light: int, t: tuple[int, int]) -> np.ndarray:
-    """The keys of one set, given the sketch's counts of its members."""
+def set_keys(members: np.ndarray, rank: np.ndarray, light: int, t: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one set, given the sketch's counts of its members, and the place in the order of each key's first member."""
     n = len(members)
     if n < 4:  # it can only link with an equal set
-        return np.empty(0, U64)
+        return np.empty(0, U64), np.empty(0, np.int64)
     order = np.lexsort((members, rank))
-    out = []
+    keys, places = [], []
     if n > light or n * t[1] > light * t[0]:
-        out.append(members[order[: prefix_length(n, 1, t)]])
+        first = members[order[: prefix_length(n, 1, t)]]
+        keys.append(first)
+        places.append(np.arange(len(first)))
     if n <= light:
         first = members[order[: prefix_length(n, 2, t)]]
         i, j = np.triu_indices(len(first), 1)
-        out.append(mix64(mix64(first[i] ^ U64(0xA0761D6478BD642F)) + first[j]))
-    return np.unique(np.concatenate(out))
+        keys.append(mix64(mix64(first[i] ^ U64(0xA0761D6478BD642F)) + first[j]))
+        places.append(i)
+    return np.concatenate(keys), np.concatenate(places)
+
+
+def largest_partner(n: np.ndarray, place: np.ndarray, t: tuple[int, int]) -> np.ndarray:
+    """The largest set that a set of n members can link with, if the first member they share is its place-th.
+
+    They share n - place members at most, and t / (1 + t) of both sizes at least.
+    """
+    return (n - place) * (t[0] + t[1]) // t[0] - n
 
 
 def _sizes_fit(a: str, b: str, t: tuple[int, int]) -> str:
     return f"{t[1]} * least({a}, {b}) >= {t[0]} * greatest({a}, {b})"
 
 
-def _hubs(keyed: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(key, node, n, hub) of keys with two different nodes or more; hub is the first node of the list whose size can link with n's."""
-
-    def emit(key, node, n):
-        same = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-        key, node, n = key[same], node[same], n[same]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        many = np.repeat(size > 1, size)
-        if not many.any():
-            return None
-        key, node, n = key[many], node[many], n[many]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        # rows are by (key, n): the least size that fits is found among the run's sizes
-        span = int(n.max()) + 2
-        place = run.astype(np.int64) * span + n
-        hub = np.searchsorted(place, run.astype(np.int64) * span + -(-n * t[0] // t[1]))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, node, n, node[hub])], ["key", "node", "n", "hub"])
+def _fit(n, place, m, other, t):
+    """Whether sets of n and m members, whose first shared member is at place and other, can link."""
+    return (m <= largest_partner(n, place, t)) & (n <= largest_partner(m, other, t)) & (t[1] * np.minimum(n, m) >= t[0] * np.maximum(n, m))
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the number of each row's run."""
+    new = np.append(True, key[1:] != key[:-1])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _in_whole_runs(emit):
+    """A function of batches sorted by their first column that hands emit() whole runs of it, as arrays."""
 
     def scan(batches):
-        rest = [np.empty(0, np.int64)] * 3
+        rest = None
         for batch in batches:
-            cols = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
             rest = [c[last:] for c in cols]
-            if last and (out := emit(*(c[:last] for c in cols))) is not None:
-                yield out
-        if len(rest[0]) and (out := emit(*rest)) is not None:
-            yield out
+            if last:
+                yield from emit(*(c[:last] for c in cols))
+        if rest is not None:
+            yield from emit(*rest)
+
+    return scan
+
+
+def _lists(keyed: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(key, node, size, hub): rows of keys with a partner that can link; size is place << 32 | n.
+
+    hub is the row with the least place that can link, among the first three:
+    it has the fewest members that are rarer than the key, so of a group of
+    near copies it is the one that the others derive from. Its own hub is its own node.
+    """
 
-    rows = keyed.repartition("key").sortWithinPartitions("key", "n", "node")
-    return rows.mapInArrow(scan, "key long, node long, n long, hub long")
+    def emit(key, node, size):
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1]))
+        key, node, size = key[new], node[new], size[new]
+        for _ in range(2):
+            first, run = _runs(key)
+            n, place = size & 0xFFFFFFFF, size >> 32
+            # a row needs another one whose size is within its bounds
+            least = np.minimum.reduceat(n, first)
+            keep = (np.bincount(run)[run] > 1) & (largest_partner(n, place, t) >= least[run])
+            key, node, size = key[keep], node[keep], size[keep]
+            if not len(key):
+                return
+        first, run = _runs(key)
+        n, place = size & 0xFFFFFFFF, size >> 32
+        hub = node.copy()
+        open_ = np.ones(len(key), bool)
+        for k in range(3):
+            at = np.minimum(first + k, np.append(first[1:], len(key)) - 1)[run]
+            fit = open_ & _fit(n, place, n[at], place[at], t) & (np.arange(len(key)) > at)
+            hub[fit] = node[at[fit]]
+            open_ &= ~fit
+        many = np.bincount(run)[run] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, hub)], ["key", "node", "size", "hub"])
+
+    rows = keyed.repartition("key").sortWithinPartitions("key", "size", "node")
+    return rows.mapInArrow(_in_whole_runs(emit), "key long, node long, size long, hub long")
+
+
+def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(a, b): pairs of one key that can link and are in different components; rows has key, rep, size, root."""
+
+    def emit(key, rep, size, root):
+        first, _ = _runs(key)
+        for a, b in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+            if b - a < 2 or (root[a:b] == root[a]).all():
+                continue
+            n, place, r, d = size[a:b] & 0xFFFFFFFF, size[a:b] >> 32, root[a:b], rep[a:b]
+            for c in range(0, b - a, 512):  # 512 rows against the whole list at a time
+                e = min(c + 512, b - a)
+                fit = _fit(n[c:e, None], place[c:e, None], n[None], place[None], t) & (r[c:e, None] != r[None])
+                fit &= np.arange(c, e)[:, None] < np.arange(b - a)[None]
+                i, j = np.nonzero(fit)
+                if len(i):
+                    one, other = d[c + i], d[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_in_whole_runs(emit), "a long, b long").distinct()
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -282,41 +345,35 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
                 hashes, bounds = shingle_sets(run.column(1))
                 nodes = signatures(hashes, bounds).view(np.int64)
                 rank = sent.value[_counter(hashes)]
-                out, which = [], []
+                out, sizes, which = [], [], []
                 for i, node in enumerate(nodes.tolist()):
                     if node in seen:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
                     a, b = bounds[i], bounds[i + 1]
-                    if len(one := set_keys(hashes[a:b], rank[a:b], light, t)):
+                    one, place = set_keys(hashes[a:b], rank[a:b], light, t)
+                    if len(one):
                         out.append(one)
+                        sizes.append((place << 32) + (b - a))
                         which.append(i)
                 if out:
-                    many = [len(x) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(nodes[which], many)), pa.array(np.repeat(np.diff(bounds)[which], many))], ["key", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(nodes[which], [len(x) for x in out])), pa.array(np.concatenate(sizes))], ["key", "node", "size"])
 
-    listed = cut(_hubs(docs.mapInArrow(keys, "key long, node long, n long"), t))
+    listed = cut(_lists(docs.mapInArrow(keys, "key long, node long, size long"), t))
     # by (node, n): sets of different sizes never count as one
     classes = cut(each.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep")))
-    hub_n = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("rep").alias("b"))
-    met = listed.where("node <> hub").groupBy("node", "n", "hub").agg(F.count("*").alias("k"))
+    n = F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n")
+    met = listed.where("node <> hub").groupBy("node", n, "hub").agg(F.count("*").alias("k"))
     best = met.groupBy("node", "n").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
-    first = cut(best.join(classes, ["node", "n"]).select(F.col("rep").alias("a"), "hub", "n").join(hub_n, "hub").where(_sizes_fit("n", "hub_n", t)).select("a", "b"))
+    hubs = classes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("rep").alias("b"))
+    first = cut(best.join(classes, ["node", "n"]).select(F.col("rep").alias("a"), "hub", "n").join(hubs, "hub").where(_sizes_fit("n", "hub_n", t)).select("a", "b"))
     links = cut(verified(docs, first, t))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    # keys whose lists still hold more than one component
-    spread = cut(listed.select("key", "node", "n").join(placed, ["node", "n"]).select("key", "rep", "n", "root"))
-    mixed = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    mixed = cut(spread.join(mixed, "key").distinct())
-    # the components of a list in pairs, then their members: never all pairs of a list
-    groups = mixed.select("key", "root").distinct()
-    x, y = (groups.select("key", F.col("root").alias(f"r{k}")) for k in "xy")
-    l, r = (mixed.select("key", F.col("root").alias(f"r{k}"), F.col("rep").alias(f"p{k}"), F.col("n").alias(f"n{k}")) for k in "xy")
-    far = x.join(y, "key").where("rx < ry").join(l, ["key", "rx"]).join(r, ["key", "ry"]).where(_sizes_fit("nx", "ny", t))
-    second = cut(far.select(F.col("px").alias("a"), F.col("py").alias("b")).distinct())
-    discard(listed, spread)
+    spread = listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root")
+    second = cut(_apart(spread, t))
+    discard(listed)
     links = links.unionByName(verified(docs, second, t))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("node", "n", F.coalesce("root", "rep").alias("root"))
