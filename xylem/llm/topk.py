@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 SCALE = 256
 STEP = 32
-SHARD = 8192
+SHARD = 16_384
 #: Queries that one copy of a shard answers.
-QUERIES = 65_536
+QUERIES = 512
 #: Rows scored exactly for the threshold.
 PROBE = 64
 
@@ -53,11 +53,12 @@ class ImpactIndex:
                 dim.append(d)
                 least.append(column[rows[0]])
                 most.append(column[rows[-1]])
-                self.rows.append(rows.astype(np.int32))
+                self.rows.append(rows)
                 self.values.append(column[rows])
         self.dim, self.least, self.most = (np.array(x, np.int64) for x in (dim, least, most))
         self.sizes = np.array([len(x) for x in self.rows], np.int64)
         self.postings_read = 0
+        self.met = np.zeros((vectors.shape[1], len(ids)), np.float32)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows, ties to smaller ids, without rows whose id is own."""
@@ -69,22 +70,23 @@ class ImpactIndex:
         for s in order[::-1].tolist():
             ahead[self.dim[s]].append(int(bound[s]))
         score = np.zeros(n, np.int64)
-        met = np.zeros((dims, n), np.float32)
+        met = self.met
+        met.fill(0)
         others = self.ids != own
         read, total = 0, n * dims
-        check = total // 4
+        check = int(0.3 * total)
         alive = np.flatnonzero(others)
         for s in order.tolist():
             d, rows = self.dim[s], self.rows[s]
             score[rows] += query[d] * self.values[s]
-            met[d, rows] = 1
+            met[d][rows] = 1
             ahead[d].pop()
             read += len(rows)
             if read >= check and read < total:
-                check = read + total // 10
-                rest = np.array([x[-1] if x else 0 for x in ahead], np.float64)
-                # sums below 2**53 are exact in double precision
-                upper = score + rest.sum() - rest @ met
+                check = read + total // 20
+                rest = np.array([x[-1] if x else 0 for x in ahead], np.float32)
+                # the margin covers single precision: bounds may be too high, never too low
+                upper = score + (float(rest.sum(dtype=np.float64)) - rest @ met + 1e-4 * float(np.abs(rest).sum(dtype=np.float64)) + 1)
                 upper[~others] = -np.inf
                 probe = np.argpartition(-upper, min(PROBE, n - 1))[: max(PROBE, k)]
                 probe = probe[others[probe]]
