@@ -36,6 +36,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +48,14 @@ from xylem.llm.ngram_join import _filter_of, _in_filter
 LENGTH = 50
 K = 20
 PRINT_BITS = 40
-RANGE_BITS = 10
+#: Ranges of fingerprints, 2**8 to 2**16 of them: as many as input partitions at least.
+RANGE_BITS = (8, 16)
 #: The filter's size, 64 MB: a slice of it for each range.
 SLOT_BITS = 29
 #: Fingerprints, and bytes of stretches, that a task holds before it sends them.
-PRINTS_HELD, BYTES_HELD = 4_000_000, 24 << 20
+PRINTS_HELD, BYTES_HELD = 2_000_000, 16 << 20
+#: Text worked on at a time: arrays of eight bytes a byte stay in the cache.
+STEP_BYTES = 1 << 20
 #: Bytes in one suffix array; an anchor with more is one array.
 ARRAY_BYTES = 2 << 20
 
@@ -94,17 +98,16 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
         have *= 2
     if width > have:
         low = np.minimum(low[: have - width], low[width - have :])
-    whole = np.ones(len(low), bool)
+    whole = np.ones(len(low) + 1, bool)
+    whole[-1] = False
     for a, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         whole[max(a, e - length + 1) : e] = False
-    at = np.flatnonzero(whole)
-    if not len(at):
-        return none, none, none, np.empty(0, U64), None
-    anchor = (low[at] & U64((1 << 28) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
-    start, last = at[first], at[np.append(first[1:], len(at)) - 1]
+    # low holds the anchor's place, so it changes with the anchor
+    new = np.append(True, low[1:] != low[:-1])
+    start = np.flatnonzero(whole[:-1] & (new | ~np.append(False, whole[:-2])))
+    last = np.flatnonzero(whole[:-1] & (np.append(new[1:], True) | ~whole[1:]))
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, start, last, h[anchor[first]] >> U64(64 - PRINT_BITS), prefix
+    return row, start, last, h[(low[start] & U64((1 << 28) - 1)).astype(np.int64)] >> U64(64 - PRINT_BITS), prefix
 
 
 def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
@@ -174,13 +177,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(doc[at][own]), pa.array(runs, pa.binary())], ["doc_id", "runs"])
 
 
-def _firsts(doc, start, prints, strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by string and document; whether a row's string is its least document's; where strings begin."""
-    order = np.lexsort((start, doc, strings, prints))
-    p, s, d = prints[order], strings[order], doc[order]
-    new = np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1]))
-    first = np.flatnonzero(new)
-    return order, d == d[first][np.cumsum(new) - 1], new
+def _firsts(doc: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their strings; the number of each one's string; whether it is of the string's least document."""
+    order = np.argsort(strings, kind="stable")
+    new = np.append(True, strings[order][1:] != strings[order][:-1])
+    number, d = np.cumsum(new) - 1, doc[order]
+    return order, number, d == np.minimum.reduceat(d, np.flatnonzero(new))[number]
 
 
 class _Spans:
@@ -239,7 +241,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, runs): spans of bytes that go, in any number of rows a document; docs has doc_id and text."""
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL")
-    below = U64(PRINT_BITS - RANGE_BITS)
+    range_bits = min(max(RANGE_BITS[0], (docs.rdd.getNumPartitions() - 1).bit_length()), RANGE_BITS[1])
+    below = U64(PRINT_BITS - range_bits)
 
     def prints(batches):
         kept: list[np.ndarray] = []
@@ -247,14 +250,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def send():
             values, n = np.unique(np.concatenate(kept), return_counts=True)
             # each value is in once for each document, or twice if a part has found two
-            cuts = np.searchsorted(values, np.arange((1 << RANGE_BITS) + 1, dtype=U64) << below)
+            cuts = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=U64) << below)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 v, m = values[cuts[r] : cuts[r + 1]], n[cuts[r] : cuts[r + 1]] > 1
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(np.diff(v, prepend=U64(0)), np.packbits(m))], pa.binary())], ["range", "blob"])
             kept.clear()
 
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 flat, offsets = text_bytes(run.column(1))
                 row, _, _, fp, _ = stretches(flat, offsets, length)
                 ids = run.column(0).to_numpy()
@@ -273,7 +276,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def close():
             one = np.sort(np.concatenate(parts))
             value = np.unique(one[1:][one[1:] == one[:-1]])
-            bits = np.zeros(1 << (SLOT_BITS - RANGE_BITS), bool)
+            bits = np.zeros(1 << (SLOT_BITS - range_bits), bool)
             bits[((value >> U64(PRINT_BITS - SLOT_BITS)) & U64(len(bits) - 1)).astype(np.int64)] = True
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["range", "bits"])
 
@@ -290,7 +293,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield close()
 
     ranges = docs.mapInArrow(prints, "range int, blob binary").repartition("range").sortWithinPartitions("range")
-    filter_ = np.zeros((1 << RANGE_BITS, 1 << (SLOT_BITS - RANGE_BITS - 3)), np.uint8)
+    filter_ = np.zeros((1 << range_bits, 1 << (SLOT_BITS - range_bits - 3)), np.uint8)
     for r in ranges.mapInArrow(shared, "range int, bits binary").toLocalIterator():  # slices of a filter of fixed size
         filter_[r["range"]] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(filter_.reshape(-1))
@@ -300,13 +303,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def send():
             doc, start, windows, fp, string, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first, _ = _firsts(doc, start, fp, string)
+            order, _, first = _firsts(doc, string)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + windows[gone] + length - 1)
             keep = order[first]
+            keep = keep[np.argsort(fp[keep], kind="stable")]  # equal strings stay together
             sizes = windows + length - 1
             begin = np.cumsum(sizes) - sizes
-            cuts = np.searchsorted(fp[keep], np.arange((1 << RANGE_BITS) + 1, dtype=U64) << below)
+            cuts = np.searchsorted(fp[keep], np.arange((1 << range_bits) + 1, dtype=U64) << below)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 k = keep[cuts[r] : cuts[r + 1]]
                 blob = pack(np.diff(fp[k], prepend=U64(0)), doc[k], start[k], windows[k].astype(np.uint16), flat[ragged(begin[k], sizes[k])])
@@ -316,10 +320,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def gone(least):
             if (out := spans.take(least)) is not None:
                 n = out.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *out.columns], ["range", "blob", "doc_id", "runs"])
+                ranges = out.column(0).to_numpy() % (1 << range_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.nulls(n, pa.binary()), *out.columns], ["range", "blob", "doc_id", "runs"])
 
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 flat, offsets = text_bytes(run.column(1))
                 row, start, last, fp, prefix = stretches(flat, offsets, length)
                 slot = (fp >> U64(PRINT_BITS - SLOT_BITS)).astype(np.int64)
@@ -338,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from send()
         yield from gone(0)
 
-    found = cut(docs.mapInArrow(collect, "range int, blob binary, doc_id long, runs binary"))
+    found = docs.mapInArrow(collect, "range int, blob binary, doc_id long, runs binary")
 
     def expand(batches):
         at, parts, arrays, size, spans = None, [], [], 0, _Spans()
@@ -349,22 +354,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
             string = span_hash(prefix_hash(flat), begin, begin + sizes)
-            order, first, new = _firsts(doc, start, fp, string)
+            order, string, first = _firsts(doc, string)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + sizes[gone])
             # strings of anchors that have more than one
-            lead = order[new]
-            group = np.cumsum(np.append(True, fp[lead][1:] != fp[lead][:-1])) - 1
-            many = np.bincount(group)[group] > 1
-            number = np.cumsum(many) - 1
-            rows = order[first & many[np.cumsum(new) - 1]]
-            which = number[(np.cumsum(new) - 1)[first & many[np.cumsum(new) - 1]]]
-            lead = lead[many]
+            rows, string = order[first], string[first]
+            lead = rows[np.append(True, string[1:] != string[:-1])]
+            anchor = np.unique(fp[lead], return_inverse=True)[1]
+            many = np.bincount(anchor)[anchor] > 1
+            some = many[string]
+            rows, string, lead = rows[some], (np.cumsum(many) - 1)[string[some]], lead[many]
             if len(lead):
-                arrays.append((doc[lead], sizes[lead], flat[ragged(begin[lead], sizes[lead])], which, doc[rows], start[rows]))
+                arrays.append((doc[lead], sizes[lead], flat[ragged(begin[lead], sizes[lead])], string, doc[rows], start[rows]))
                 size += int(sizes[lead].sum())
 
         for batch in batches:
+            done = batch.column(1).is_null()
+            yield batch.filter(done).select(["doc_id", "runs"])
+            batch = batch.filter(pc.invert(done))
             for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if r != at and parts:
                     close()
@@ -383,11 +390,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if (out := spans.take()) is not None:
             yield out
 
-    blobs = found.where("blob IS NOT NULL").select("range", "blob").repartition("range").sortWithinPartitions("range")
-    late = cut(blobs.mapInArrow(expand, "doc_id long, runs binary"))
-    early = cut(found.where("runs IS NOT NULL").select("doc_id", "runs"))
-    discard(found)
-    return early.unionByName(late)
+    return cut(found.repartition("range").sortWithinPartitions("range").mapInArrow(expand, "doc_id long, runs binary"))
 
 
 def _kept(text: bytes, spans: np.ndarray) -> bytes:
