@@ -54,6 +54,8 @@ REMEMBERED = 400_000
 #: A table of hashes that rejects most strings that are no pieces.
 SIEVE = 1 << 20
 MASK = (1 << 64) - 1
+#: Text sampled at a time: the more, the fewer distinct units a byte.
+RUN_BYTES = 5 << 20
 
 
 class Lattices:
@@ -203,7 +205,7 @@ class Pieces:
         prefix, at = self._prefix(points), np.arange(len(points))
         starts, stops, tokens, weights = [], [], [], []
         covered = np.zeros(len(points), bool)
-        for length, (hashes, ids, weight) in self.tables.items():
+        for length, (hashes, ids, weight) in sorted(self.tables.items(), reverse=True):  # longer pieces are likelier
             here = at[at + length <= end] if length > 1 else at
             h = span_hash(prefix, here, here + length)
             maybe = np.flatnonzero(self.sieve[(h & U64(SIEVE - 1)).astype(np.int64)])
@@ -224,20 +226,24 @@ class Pieces:
         count = np.concatenate([np.ones(len(start) - len(bare), np.int64), n_bytes])
         own = unit[start]
         back, to = start + own, stop + own  # a unit has one node more than characters
-        place = stop - (np.cumsum(sizes) - sizes)[own]
+        order = np.argsort(to, kind="stable")  # each length's arcs are in order already
+        back, to, token, count, weight = (x[order] for x in (back, to, token, count, weight))
+        first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        many = np.diff(np.append(first, len(to)))
+        # forward sums, all units' nodes at one place at a time
         total = np.full(len(points) + len(words), -np.inf)
-        total[np.cumsum(sizes + 1) - sizes - 1] = 0
-        order = np.argsort(place * len(total) + to, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(1, int(sizes.max(initial=0)) + 2))
+        roots = np.cumsum(sizes + 1) - sizes - 1
+        total[roots] = 0
+        nodes = to[first]
+        place = nodes - roots[np.searchsorted(roots, nodes, "right") - 1]
+        by_place = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[by_place], np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            some = order[a:b]
-            groups = np.flatnonzero(np.append(True, to[some][1:] != to[some][:-1])) if len(some) else []
+            some = by_place[a:b]
             if len(some):
-                total[to[some][groups]] = np.logaddexp.reduceat(total[back[some]] + weight[some], groups)
+                arcs = ragged(first[some], many[some])
+                total[nodes[some]] = np.logaddexp.reduceat(total[back[arcs]] + weight[arcs], np.cumsum(many[some]) - many[some])
         logp = total[back] + weight - total[to]
-        order = np.argsort(to + 1 - np.exp(logp) * 0.999, kind="stable")  # likely arcs first
-        back, to, token, count, logp = (x[order] for x in (back, to, token, count, logp))
-        first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
         sums = np.cumsum(np.exp(logp))
         cum = sums - np.repeat(np.concatenate([[0], sums[first[1:] - 1]]), np.diff(np.append(first, len(to))))
         cum[np.append(first[1:], len(to)) - 1] = 1
@@ -433,7 +439,8 @@ def _result(pieces, lattice, p, sums, bounds):
         ids, ends = np.empty(0, np.int64), np.zeros(len(alive) + 1, np.int64)
     else:
         counts = lattice.n_tok[arcs]
-        total = np.concatenate([[0], np.cumsum(counts)])
+        total = np.zeros(len(arcs) + 1, np.int64)
+        np.cumsum(counts, out=total[1:])
         edge = np.append(starts, len(arcs))
         per_unit = np.append(total[edge[:-1]], total[-1])
         ends = per_unit[np.append(bounds[:-1][live], bounds[-1])] if len(alive) else np.zeros(1, np.int64)
@@ -464,7 +471,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: f
     def run_(batches):
         own = pieces(model, alpha)
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, RUN_BYTES):
                 keys = run.column(0).fill_null(0).to_numpy()
                 texts = [(t or "").encode() for t in run.column(1).to_pylist()]
                 found = sample(own, keys, run.column(1), k, seed)
