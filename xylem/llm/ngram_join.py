@@ -20,7 +20,8 @@ on whole sets. Equal sets are one class from the start. For components not
 every link is needed: in a key's list, each class is first compared with one
 class of the list, its hub, and of its hubs with the one met most often. Then
 candidates that are still in different components are compared, all of them,
-so no link between different components is left out. Groups of near copies
+first by digests that bound what they share, then as whole sets: no link
+between different components is left out. Groups of near copies
 thus cost about one comparison a member, not all pairs.
 
 Nulls: a null text is empty; texts without words have no set and link with
@@ -256,8 +257,24 @@ def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (hit(a) & hit(b)).astype(bool)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets have similarity t or more.
+def digest(members: np.ndarray) -> np.ndarray:
+    """How many members fall in each of about as many bins, in a byte each: the sums of the lesser counts of two sets bound what they share."""
+    bins = 1 << max(3, (len(members) - 1).bit_length())
+    return np.minimum(np.bincount((members & U64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def shared_bound(one: np.ndarray, other: np.ndarray) -> int:
+    """No fewer members than two sets share, from their digests; the finer one is folded first."""
+    while len(one) > len(other):
+        one = np.minimum(one[: len(one) // 2].astype(np.int64) + one[len(one) // 2 :], 255)
+    while len(other) > len(one):
+        other = np.minimum(other[: len(other) // 2].astype(np.int64) + other[len(other) // 2 :], 255)
+    full = (one == 255) | (other == 255)  # a full bin may hold more
+    return int(np.minimum(one, other).sum()) if not full.any() else 1 << 62
+
+
+def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int], whole: bool = True) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets have similarity t or more; with whole = False, those that digests of an eighth of the size don't rule out.
 
     b's set is sent to b's pairs in chunks of HUB_MEMBERS, so a b with any
     number of pairs is many tasks' work. Rows arrive sorted, b's set first;
@@ -271,40 +288,37 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int]) -> DataFrame
             batch = batch.filter(pa.array(_in_filter(filter_.value, batch.column(0).fill_null(0).to_numpy())))
             for run in slices(batch):
                 hashes, bounds = shingle_sets(run.column(1))
-                data = pa.BinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * 8), pa.py_buffer(hashes.tobytes())])
-                yield pa.RecordBatch.from_arrays([run.column(0), data.cast(pa.binary())], ["id", "shingles"])
+                parts = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                data = [(x if whole else digest(x)).tobytes() for x in parts]
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array(np.diff(bounds)), pa.array(data, pa.binary())], ["id", "n", "shingles"])
 
-    found = doc_frame(docs).where("doc_id IS NOT NULL").mapInArrow(sets, "id long, shingles binary")
+    found = doc_frame(docs).where("doc_id IS NOT NULL").mapInArrow(sets, "id long, n long, shingles binary")
     chunks = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("chunks"))
     salted = pairs.join(chunks, "b").select("a", "b", F.pmod(F.xxhash64("a"), "chunks").cast("int").alias("chunk"))
     hubs = chunks.select(F.lit(None).cast("long").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     wanted = salted.withColumn("id", F.col("a")).unionByName(hubs.withColumn("id", F.col("b")))
-    rows = wanted.join(found, "id").select("b", "chunk", "a", "shingles")
+    rows = wanted.join(found, "id").select("b", "chunk", "a", "n", "shingles")
 
     def compare(batches):
-        at, hub = None, None
+        at, hub, size = None, None, 0
         for batch in batches:
-            b, chunk, a = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            is_hub = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            data, off = batch.column(3).buffers()[2], np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: batch.num_rows + 1].astype(np.int64)
+            b, chunk, a, n = (c.to_pylist() for c in batch.columns[:4])
+            data = batch.column(4)
             out_a, out_b = [], []
-            firsts = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (chunk[1:] != chunk[:-1])))
-            for i, j in zip(firsts.tolist(), [*firsts[1:].tolist(), batch.num_rows], strict=True):
-                if is_hub[i]:
-                    at, hub = (b[i], chunk[i]), np.frombuffer(data, U64, (off[i + 1] - off[i]) // 8, off[i]).copy()
-                    while i < j and is_hub[i]:
-                        i += 1
-                if i == j or at != (b[i], chunk[i]):
-                    continue
-                members = np.frombuffer(data, U64, (off[j] - off[i]) // 8, off[i])
-                sizes = np.diff(off[i : j + 1]) // 8
-                place = np.minimum(np.searchsorted(hub, members), len(hub) - 1)
-                common = np.diff(np.concatenate([[0], np.cumsum(hub[place] == members)])[np.concatenate([[0], np.cumsum(sizes)])])
-                linked = t[1] * common >= t[0] * (sizes + len(hub) - common)
-                out_a.append(a[i:j][linked])
-                out_b.append(b[i:j][linked])
+            for i in range(batch.num_rows):
+                if a[i] is None:
+                    at, size, hub = (b[i], chunk[i]), n[i], np.frombuffer(data[i].as_buffer(), U64 if whole else np.uint8).copy()
+                elif at == (b[i], chunk[i]):
+                    own = np.frombuffer(data[i].as_buffer(), U64 if whole else np.uint8)
+                    if whole:
+                        common = int((hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own).sum())
+                    else:
+                        common = min(shared_bound(own, hub), n[i], size)
+                    if t[1] * common >= t[0] * (n[i] + size - common):
+                        out_a.append(a[i])
+                        out_b.append(b[i])
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_a, out_b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_a, out_b)], ["a", "b"])
 
     return rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
@@ -373,6 +387,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     spread = listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root")
     second = cut(_apart(spread, t))
+    second = cut(verified(docs, second, t, whole=False))
     discard(listed)
     links = links.unionByName(verified(docs, second, t))
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
