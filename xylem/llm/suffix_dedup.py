@@ -57,7 +57,7 @@ PRINTS_HELD, BYTES_HELD = 2_000_000, 16 << 20
 #: Text worked on at a time: arrays of eight bytes a byte stay in the cache.
 STEP_BYTES = 1 << 20
 #: Bytes in one suffix array; an anchor with more is one array.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -120,7 +120,7 @@ def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
     marked[0] = True
     marked[1:] = (text[prev] != text[here]) | (text[here] == 0)
     open_ = np.flatnonzero(~marked)
-    one, other = rank[sa[open_ - 1] + 1], rank[sa[open_] + 1]
+    one, other = (rank[sa[k] + 1].astype(np.int32) for k in (open_ - 1, open_))
     lo, hi = np.minimum(one, other), np.maximum(one, other)
     for _ in range(length - 1):
         seen = np.cumsum(marked, dtype=np.int32)
@@ -363,10 +363,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             anchor = np.unique(fp[lead], return_inverse=True)[1]
             many = np.bincount(anchor)[anchor] > 1
             some = many[string]
-            rows, string, lead = rows[some], (np.cumsum(many) - 1)[string[some]], lead[many]
-            if len(lead):
-                arrays.append((doc[lead], sizes[lead], flat[ragged(begin[lead], sizes[lead])], string, doc[rows], start[rows]))
-                size += int(sizes[lead].sum())
+            rows, string, lead, anchor = rows[some], (np.cumsum(many) - 1)[string[some]], lead[many], anchor[many]
+            if not len(lead):
+                return
+            # some anchors at a time
+            by_anchor = np.argsort(anchor, kind="stable")
+            upto = np.cumsum(sizes[lead[by_anchor]])
+            starts = np.flatnonzero(np.append(True, anchor[by_anchor][1:] != anchor[by_anchor][:-1]))
+            part = (upto[starts] - sizes[lead[by_anchor[starts]]]) // ARRAY_BYTES
+            cuts = [*starts[np.append(True, part[1:] != part[:-1])].tolist(), len(lead)]
+            number = np.empty(len(lead), np.int64)
+            number[by_anchor] = np.arange(len(lead))
+            order = np.argsort(number[string], kind="stable")
+            rows, string = rows[order], number[string][order]
+            lead = lead[by_anchor]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                some, own = lead[i:j], slice(*np.searchsorted(string, [i, j]))
+                arrays.append((doc[some], sizes[some], flat[ragged(begin[some], sizes[some])], string[own] - i, doc[rows[own]], start[rows[own]]))
+                size += int(sizes[some].sum())
+                if size > ARRAY_BYTES:
+                    _compare(arrays, length, spans)
+                    arrays.clear()
+                    size = 0
 
         for batch in batches:
             done = batch.column(1).is_null()
@@ -376,11 +394,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if r != at and parts:
                     close()
                     parts = []
-                    if size > ARRAY_BYTES:
-                        _compare(arrays, length, spans)
-                        arrays, size = [], 0
-                        if (out := spans.take(1_000_000)) is not None:
-                            yield out
+                    if (out := spans.take(1_000_000)) is not None:
+                        yield out
                 at = r
                 fp, doc, start, windows, flat = unpack(blob.as_buffer(), "u8", "i8", "i8", "u2", "u1")
                 parts.append((np.cumsum(fp), doc, start, windows, flat))
