@@ -18,6 +18,7 @@ from xylem.model import DOCS, IDS, NODES, XML_NS, Limits, XmlError
 from xylem.sources import encoding as enc
 
 SEP = "\x1f"
+_START_TAG = re.compile(rb"<[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*>")
 #: What expat's codes are called here.
 KINDS_BY_CODE = {
     2: "InvalidName", 3: "NoRootElement", 4: "InvalidName", 5: "Unterminated", 6: "MalformedEncoding", 7: "MismatchedEndTag", 8: "DuplicateAttribute", 9: "TrailingContent", 10: "MalformedDtd", 11: "UnknownEntity", 12: "EntityLimitExceeded", 14: "IllegalCharacter", 15: "ForbiddenEntityReference", 16: "ForbiddenEntityReference",
@@ -144,26 +145,17 @@ class _Builder:
         self.flush()
         self.depth -= 1
         row = self.stack.pop()
-        self.children.pop()
+        empty = not self.children.pop()
         row[SIZE] = len(self.out.rows) - 1 - row[PRE]
         row[VALUE] = "".join(self.parts[self.marks.pop() :])
-        at = self.parser.CurrentByteIndex
-        row[END] = self.tag_end(at)
+        tag = _START_TAG.match(self.data, row[START]) if empty else None
+        if tag and tag[0].endswith(b"/>"):
+            row[END] = tag.end()
+        else:
+            row[END] = self.data.find(b">", max(self.parser.CurrentByteIndex, 0)) + 1
         if not self.stack[1:]:
             self.root_value = row[VALUE]
 
-    def tag_end(self, at: int) -> int:
-        quote, data = 0, self.data
-        for i in range(max(at, 0), len(data)):
-            c = data[i]
-            if quote:
-                quote = 0 if c == quote else quote
-            elif c in (34, 39) and data[at : at + 2] != b"</":
-                quote = c
-            elif c == 62:
-                return i + 1
-        return len(data)
-
     def text(self, data):
         if not self.run:
             self.run_start = self.parser.CurrentByteIndex
