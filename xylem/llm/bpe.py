@@ -20,8 +20,8 @@ from xylem.llm.common import ragged
 WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 #: A space between white space, or between white space and the end.
 UNSAFE = rf"{WHITE} (?:{WHITE}|$)"
-#: Words that a worker remembers, about 120 MB; beyond it, those that the text at hand doesn't have are forgotten.
-REMEMBERED = 600_000
+#: Words that a worker remembers, about 240 MB; beyond it, those that the text at hand doesn't have are forgotten.
+REMEMBERED = 1_200_000
 
 
 class WordCachedEncoder:
