@@ -24,7 +24,6 @@ with its error and keeps its old nodes.
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -262,40 +261,61 @@ EDITED = f"{NODES}, error_seq int, error_kind string"
 def edit(nodes: DataFrame, script: DataFrame) -> DataFrame:
     """nodes after the script, with error_seq and error_kind on the rows of documents whose script failed.
 
-    Documents without a script pass by without leaving the JVM.
+    Documents without a script pass by without leaving the JVM; the others are
+    read in a stream of sorted rows, one document at a time.
     """
-    columns = [F.col(c.split()[0]).alias(f"e_{c.split()[0]}") for c in SCRIPT.split(", ")]
-    ops = script.select(*columns)  # other names, as a script is often made from the nodes
+    fields = [c.split() for c in SCRIPT.split(", ")]
+    ops = script.select(*(F.col(name).cast(kind).alias(f"e_{name}") for name, kind in fields))  # other names: a script is often made from the nodes
     touched = ops.select(F.col("e_doc_id").alias("doc_id")).distinct()
-    names = [c.split()[0] for c in EDITED.split(", ")]
-
-    def apply(key, rows: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-        clean = lambda df: [{k: None if v is None or v != v else v for k, v in r.items()} for r in df.astype(object).to_dict("records")]
-        before = clean(rows)
-        tree, error = Tree(before), (None, None)
-        for o in sorted(clean(edits.rename(columns=lambda c: c[2:])), key=lambda o: o["seq"]):
-            try:
-                made = tree.apply(o["op"], *(None if o[c] is None else int(o[c]) for c in ("target", "arg")), o["ns"], o["local"], o["value"])
-                if isinstance(made, dict):
-                    tree.nodes[-int(o["seq"])] = made
-            except NodeError as e:
-                error = (int(o["seq"]), str(e))
-                break
-        doc = key[0]
-        if error[0] is None:
-            out = [[int(doc), *r, None, None] for r in tree.rows()]
-        else:
-            out = [[r[c] for c in NODE_COLUMNS] + list(error) for r in before]
-        table = pd.DataFrame(out, columns=names).astype(object)
-        for name, kind in (c.split() for c in EDITED.split(", ")):
-            if kind in ("int", "long"):
-                table[name] = table[name].astype("Int64" if kind == "long" else "Int32")
-        return table
-
-    some = nodes.join(touched, "doc_id", "left_semi").select(*NODE_COLUMNS)
+    some = nodes.select(*NODE_COLUMNS).join(touched, "doc_id", "left_semi")
     rest = nodes.join(touched, "doc_id", "left_anti").selectExpr(*NODE_COLUMNS, "cast(null as int) AS error_seq", "cast(null as string) AS error_kind")
-    done = some.groupBy("doc_id").cogroup(ops.groupBy("e_doc_id")).applyInPandas(apply, EDITED)
-    return rest.unionByName(done)
+    steps = [(f"e_{name}", kind) for name, kind in fields[1:]]
+    left = some.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in steps))
+    kinds = [c.split() for c in NODES.split(", ")]
+    right = ops.select(F.col("e_doc_id").alias("doc_id"), *(F.lit(None).cast(kind).alias(name) for name, kind in kinds[1:]), *(name for name, _ in steps))
+    rows = left.unionByName(right).repartition("doc_id").sortWithinPartitions("doc_id", F.col("e_seq").asc_nulls_first(), "pre")
+    names = [c.split()[0] for c in EDITED.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in EDITED.split(", ")])
+
+    def run(batches):
+        at, before, edits, done = None, [], [], []
+
+        def close():
+            tree, error = Tree(before), (None, None)
+            for o in edits:
+                try:
+                    made = tree.apply(o["e_op"], o["e_target"], o["e_arg"], o["e_ns"], o["e_local"], o["e_value"])
+                    if isinstance(made, dict):
+                        tree.nodes[-o["e_seq"]] = made
+                except NodeError as e:
+                    error = (o["e_seq"], str(e))
+                    break
+            if error[0] is None:
+                done.extend((at, *r, None, None) for r in tree.rows())
+            else:
+                done.extend((*(r[c] for c in NODE_COLUMNS), *error) for r in before)
+
+        def table():
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["doc_id"] != at:
+                    if before or edits:
+                        close()
+                        if len(done) >= 20_000:
+                            yield table()
+                    at, before, edits = r["doc_id"], [], []
+                (before if r["e_seq"] is None else edits).append(r)
+        if before or edits:
+            close()
+        if done:
+            yield table()
+
+    return rest.unionByName(rows.mapInArrow(run, EDITED))
 
 
 class Builder:

@@ -29,7 +29,10 @@ def shredded(spark: SparkSession, sf_dir: str, fixture: str) -> DataFrame:
     """A fixture's rows, shredded once for each session and written by kind of node: scans prune kinds and columns."""
     key = (spark.sparkContext.applicationId, sf_dir, fixture)
     if key not in _WRITTEN:
-        _WRITTEN[key] = written(shred(getattr(tables, fixture)(spark, sf_dir)).withColumn("part", F.coalesce("kind", "row")), "part")
+        made = getattr(tables, fixture)(spark, sf_dir)
+        # small inputs are merged into few partitions after a shuffle; parsing is worth more tasks than their bytes are
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _WRITTEN[key] = written(shred(made.repartition(parts, "doc_id")).withColumn("part", F.coalesce("kind", "row")), "part")
     return _WRITTEN[key]
 
 
@@ -220,7 +223,8 @@ def xml_11_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pulled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of all orders by type."""
-    return read_events(tables.orders(spark, sf_dir)).groupBy("type").agg(F.count("*").alias("n"))
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_events(tables.orders(spark, sf_dir).repartition(parts, "doc_id")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
