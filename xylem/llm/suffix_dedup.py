@@ -48,12 +48,14 @@ from xylem.llm.ngram_join import _filter_of, _in_filter
 LENGTH = 50
 K = 20
 PRINT_BITS = 40
-#: Ranges of fingerprints, 2**8 to 2**16 of them: as many as input partitions at least.
-RANGE_BITS = (8, 16)
+#: Ranges of fingerprints, 2**9 to 2**16 of them: as many as input partitions at least.
+RANGE_BITS = (9, 16)
 #: The filter's size, 64 MB: a slice of it for each range.
 SLOT_BITS = 29
 #: Fingerprints, and bytes of stretches, that a task holds before it sends them.
 PRINTS_HELD, BYTES_HELD = 2_000_000, 16 << 20
+#: Spans that a task holds before it sends them.
+SPANS_HELD = 200_000
 #: Text worked on at a time: arrays of eight bytes a byte stay in the cache.
 STEP_BYTES = 1 << 20
 #: Bytes in one suffix array; an anchor with more is one array.
@@ -110,6 +112,18 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     return row, start, last, h[(low[start] & U64((1 << 28) - 1)).astype(np.int64)] >> U64(64 - PRINT_BITS), prefix
 
 
+def string_hashes(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that stand end to end, STEP_BYTES at a time."""
+    out = np.empty(len(sizes), U64)
+    part = begin // STEP_BYTES
+    cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(sizes)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        base = begin[i]
+        prefix = prefix_hash(flat[base : begin[j - 1] + sizes[j - 1]])
+        out[i:j] = span_hash(prefix, begin[i:j] - base, begin[i:j] - base + sizes[i:j])
+    return out
+
+
 def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
     """For each place of a text (symbols from 1; 0 ends a string), the number of its class: places with the next `length` symbols equal."""
     n = len(text)
@@ -337,7 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 size += int((windows + length - 1).sum())
                 if size > BYTES_HELD:
                     yield from send()
-                    yield from gone(1_000_000)
+                    yield from gone(SPANS_HELD)
                     size = 0
         if held:
             yield from send()
@@ -353,7 +367,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             fp, doc, start, windows, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
-            string = span_hash(prefix_hash(flat), begin, begin + sizes)
+            string = string_hashes(flat, begin, sizes)
             order, string, first = _firsts(doc, string)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + sizes[gone])
@@ -394,7 +408,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if r != at and parts:
                     close()
                     parts = []
-                    if (out := spans.take(1_000_000)) is not None:
+                    if (out := spans.take(SPANS_HELD)) is not None:
                         yield out
                 at = r
                 fp, doc, start, windows, flat = unpack(blob.as_buffer(), "u8", "i8", "i8", "u2", "u1")
