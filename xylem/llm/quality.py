@@ -224,15 +224,17 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
             for run in slices(batch):
                 row, bins, ratios = text_features(run.column(1))
                 pair = np.unique(row * BINS + bins)
-                bounds = np.searchsorted(pair // BINS, np.arange(run.num_rows + 1))
-                bags = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((pair % BINS).astype(np.int32)))
-                dense = pa.ListArray.from_arrays(pa.array(np.arange(run.num_rows + 1) * RATIOS, pa.int32()), pa.array(ratios.reshape(-1)))
+                bounds = np.searchsorted(pair // BINS, np.arange(run.num_rows + 1)).tolist()
+                bins = (pair % BINS).astype("<i4")
+                bags = pa.array([bins[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                dense = pa.array([x.tobytes() for x in ratios], pa.binary())
                 yield pa.RecordBatch.from_arrays([run.column(0), bags, dense, *(run.column(k) for k in range(2, 6))], ["doc_id", "bag", "ratios", "lang", "source", "n_chars", "y"])
 
-    found = sorted(rows.mapInArrow(features, "doc_id long, bag array<int>, ratios array<double>, lang string, source string, n_chars long, y int").collect(), key=lambda r: (r["doc_id"], r["bag"]))
+    # labelled + pool rows of distinct words' bins, as bytes: some tens of MB
+    found = sorted(rows.mapInArrow(features, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
     if not found:
         return None
-    return co_train([np.array(r["bag"], np.int64) for r in found], np.array([r["ratios"] for r in found]), [(r["lang"], r["source"], r["n_chars"]) for r in found], np.array([r["y"] for r in found]), rounds)
+    return co_train([np.frombuffer(r["bag"], "<i4").astype(np.int64) for r in found], np.array([np.frombuffer(r["ratios"]) for r in found]), [(r["lang"], r["source"], r["n_chars"]) for r in found], np.array([r["y"] for r in found]), rounds)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
