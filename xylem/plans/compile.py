@@ -480,4 +480,6 @@ def _mentions(e: Expr, function: str) -> bool:
         return e.name == function or any(_mentions(a, function) for a in e.args)
     if isinstance(e, Chain):
         return _mentions(e.first, function) or any(_mentions(p, function) for _, p in e.rest)
-    return _mentions(e.base, function) if isinstance(e, Negate) else isinstance(e, (Union, Filter, Path)) and not isinstance(e, Path)
+    if isinstance(e, Negate):
+        return _mentions(e.base, function)
+    return isinstance(e, (Union, Filter)) or isinstance(e, Path) and e.start is not None
