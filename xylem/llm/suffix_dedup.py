@@ -15,8 +15,8 @@ document with a smaller doc_id. Four steps, none of which gathers the corpus:
    windows go at once. So what is sent for a passage that a third of all
    documents share is one stretch a task.
 3. Ranges. For the stretches of an anchor, equal ones are again one, the
-   least document's; anchors with different stretches get a suffix array, to
-   LENGTH symbols, and its Burrows-Wheeler transform's order. Breadth-first
+   least document's; different ones that agree beyond the anchor, far enough
+   on one side for a shared window, get a suffix array, to LENGTH symbols, and its Burrows-Wheeler transform's order. Breadth-first
    backward extension marks where common prefixes of 0, 1, 2 ... symbols end
    and stops below LENGTH: what is unmarked then lies in intervals of equal
    windows. In each interval all but the least document's windows go.
@@ -55,7 +55,7 @@ SLOT_BITS = 29
 #: Fingerprints, and bytes of stretches, that a task holds before it sends them.
 PRINTS_HELD, BYTES_HELD = 2_000_000, 16 << 20
 #: Spans that a task holds before it sends them.
-SPANS_HELD = 200_000
+SPANS_HELD = 1_000_000
 #: Text worked on at a time: arrays of eight bytes a byte stay in the cache.
 STEP_BYTES = 1 << 20
 #: Bytes in one suffix array; an anchor with more is one array.
@@ -85,11 +85,11 @@ def unpack(blob, *dtypes: str) -> list[np.ndarray]:
 
 
 def stretches(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: row, first window's start, last window's start, fingerprint; and the prefix hash."""
+    """Runs of windows with one anchor: row, first window's start, last window's start, fingerprint, anchor; and the prefix hash."""
     n = len(flat)
     none = np.empty(0, np.int64)
     if n < length:
-        return none, none, none, np.empty(0, U64), None
+        return none, none, none, np.empty(0, U64), none, None
     k = min(K, length)
     prefix = prefix_hash(flat)
     h = mix64((prefix[k:] - prefix[:-k]) * powers(n + 1)[1][: n - k + 1])
@@ -109,19 +109,37 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     start = np.flatnonzero(whole[:-1] & (new | ~np.append(False, whole[:-2])))
     last = np.flatnonzero(whole[:-1] & (np.append(new[1:], True) | ~whole[1:]))
     row = np.searchsorted(offsets, start, "right") - 1
-    return row, start, last, h[(low[start] & U64((1 << 28) - 1)).astype(np.int64)] >> U64(64 - PRINT_BITS), prefix
+    anchor = (low[start] & U64((1 << 28) - 1)).astype(np.int64)
+    return row, start, last, h[anchor] >> U64(64 - PRINT_BITS), anchor, prefix
 
 
-def string_hashes(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of strings that stand end to end, STEP_BYTES at a time."""
-    out = np.empty(len(sizes), U64)
+def string_hashes(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of strings that stand end to end, of their anchors with half of the rest of a window to the right, and to the left (0: too short).
+
+    A window that two strings share reaches half of its rest or more beyond
+    the anchor on one side: without a partner on either, a string shares none.
+    """
+    out, right, left = (np.zeros(len(sizes), U64) for _ in range(3))
+    k = min(K, length)
+    half = (length - k + 1) // 2
     part = begin // STEP_BYTES
     cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(sizes)]
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
         base = begin[i]
         prefix = prefix_hash(flat[base : begin[j - 1] + sizes[j - 1]])
-        out[i:j] = span_hash(prefix, begin[i:j] - base, begin[i:j] - base + sizes[i:j])
-    return out
+        own, n, at = begin[i:j] - base, sizes[i:j], place[i:j].astype(np.int64)
+        out[i:j] = span_hash(prefix, own, own + n)
+        fits = np.flatnonzero(at + k + half <= n)
+        right[i + fits] = span_hash(prefix, (own + at)[fits], (own + at)[fits] + k + half)
+        fits = np.flatnonzero(at >= half)
+        left[i + fits] = span_hash(prefix, (own + at)[fits] - half, (own + at)[fits] + k)
+    return out, right, left
+
+
+def _has_partner(h: np.ndarray) -> np.ndarray:
+    """Whether a hash other than 0 is there more than once."""
+    _, number, n = np.unique(h, return_inverse=True, return_counts=True)
+    return (n[number] > 1) & (h != 0)
 
 
 def equal_windows(text: np.ndarray, length: int) -> np.ndarray:
@@ -273,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for run in slices(batch, 1, STEP_BYTES):
                 flat, offsets = text_bytes(run.column(1))
-                row, _, _, fp, _ = stretches(flat, offsets, length)
+                row, _, _, fp, _, _ = stretches(flat, offsets, length)
                 ids = run.column(0).to_numpy()
                 document = np.unique(ids, return_inverse=True)[1]
                 pair = np.unique((fp << U64(64 - PRINT_BITS)) | document[row].astype(U64)) >> U64(64 - PRINT_BITS)
@@ -316,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         held, size, spans = [], 0, _Spans()
 
         def send():
-            doc, start, windows, fp, string, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, start, windows, fp, place, string, flat = (np.concatenate(x) for x in zip(*held, strict=True))
             order, _, first = _firsts(doc, string)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + windows[gone] + length - 1)
@@ -327,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cuts = np.searchsorted(fp[keep], np.arange((1 << range_bits) + 1, dtype=U64) << below)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 k = keep[cuts[r] : cuts[r + 1]]
-                blob = pack(np.diff(fp[k], prepend=U64(0)), doc[k], start[k], windows[k].astype(np.uint16), flat[ragged(begin[k], sizes[k])])
+                blob = pack(np.diff(fp[k], prepend=U64(0)), doc[k], start[k], windows[k].astype(np.uint16), place[k], flat[ragged(begin[k], sizes[k])])
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], ["range", "blob", "doc_id", "runs"])
             held.clear()
 
@@ -340,14 +358,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for run in slices(batch, 1, STEP_BYTES):
                 flat, offsets = text_bytes(run.column(1))
-                row, start, last, fp, prefix = stretches(flat, offsets, length)
+                row, start, last, fp, anchor, prefix = stretches(flat, offsets, length)
                 slot = (fp >> U64(PRINT_BITS - SLOT_BITS)).astype(np.int64)
                 pass_ = (sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
                 if not pass_.any():
                     continue
-                row, start, last, fp = (x[pass_] for x in (row, start, last, fp))
+                row, start, last, fp, anchor = (x[pass_] for x in (row, start, last, fp, anchor))
                 windows = last - start + 1
-                held.append((run.column(0).to_numpy()[row], start - offsets[row], windows, fp, span_hash(prefix, start, last + length), flat[ragged(start, windows + length - 1)]))
+                held.append((run.column(0).to_numpy()[row], start - offsets[row], windows, fp, (anchor - start).astype(np.uint16), span_hash(prefix, start, last + length), flat[ragged(start, windows + length - 1)]))
                 size += int((windows + length - 1).sum())
                 if size > BYTES_HELD:
                     yield from send()
@@ -364,18 +382,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def close():
             nonlocal size
-            fp, doc, start, windows, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+            fp, doc, start, windows, place, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
-            string = string_hashes(flat, begin, sizes)
+            string, right, left = string_hashes(flat, begin, sizes, place, length)
             order, string, first = _firsts(doc, string)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + sizes[gone])
-            # strings of anchors that have more than one
+            # strings that may share a window with another one of their anchor
             rows, string = order[first], string[first]
             lead = rows[np.append(True, string[1:] != string[:-1])]
             anchor = np.unique(fp[lead], return_inverse=True)[1]
-            many = np.bincount(anchor)[anchor] > 1
+            many = _has_partner(right[lead]) | _has_partner(left[lead])
             some = many[string]
             rows, string, lead, anchor = rows[some], (np.cumsum(many) - 1)[string[some]], lead[many], anchor[many]
             if not len(lead):
@@ -411,8 +429,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if (out := spans.take(SPANS_HELD)) is not None:
                         yield out
                 at = r
-                fp, doc, start, windows, flat = unpack(blob.as_buffer(), "u8", "i8", "i8", "u2", "u1")
-                parts.append((np.cumsum(fp), doc, start, windows, flat))
+                fp, doc, start, windows, place, flat = unpack(blob.as_buffer(), "u8", "i8", "i8", "u2", "u2", "u1")
+                parts.append((np.cumsum(fp), doc, start, windows, place, flat))
         if parts:
             close()
         _compare(arrays, length, spans)
