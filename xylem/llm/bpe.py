@@ -20,8 +20,8 @@ from xylem.llm.common import ragged
 WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 #: A space between white space, or between white space and the end.
 UNSAFE = rf"{WHITE} (?:{WHITE}|$)"
-#: Words that a worker remembers, about 240 MB; beyond it, those that the text at hand doesn't have are forgotten.
-REMEMBERED = 1_200_000
+#: Words that a worker remembers, about 200 MB; beyond it, those met once are forgotten.
+REMEMBERED = 1_000_000
 
 
 class WordCachedEncoder:
@@ -36,19 +36,23 @@ class WordCachedEncoder:
         self._forget()
 
     def _forget(self, words: list[str] = ()) -> None:
-        """Forget all but these words."""
-        kept = [(w, self.known[w]) for w in words if w in self.known] if words else []
-        at = np.array([0, *(k for _, k in kept)], np.int64)
+        """Forget words that were met once and aren't among these."""
+        kept = {w: self.known[w] for w in words if w in self.known} if words else {}
+        again = {w: k for w, k in self.known.items() if self.again[k]} if words else {}
+        if len(again) < self.remembered // 2:
+            kept |= again
+        at = np.array([0, *kept.values()], np.int64)
         starts, sizes = (self.starts[at], self.lengths[at]) if words else (None, None)
         flat = self.ids[ragged(starts, sizes)] if words else None
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
         self.used = self.count = 0
         if words:
             self._append(flat, sizes)
-            self.known = {w: k + 1 for k, (w, _) in enumerate(kept)}
+            self.known = {w: k + 1 for k, w in enumerate(kept)}
         else:
             self._store([[] if self.end_id is None else [self.end_id]])  # entry 0
 
@@ -62,8 +66,9 @@ class WordCachedEncoder:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while first + n > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.again))
         self.ids[self.used : self.used + len(flat)] = flat
+        self.again[first : first + n] = False
         self.starts[first : first + n] = self.used + np.cumsum(sizes) - sizes
         self.lengths[first : first + n] = sizes
         self.used += len(flat)
@@ -104,6 +109,7 @@ class WordCachedEncoder:
         if len(self.known) + len(words) + n > self.remembered:
             self._forget(words)
         entry = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        self.again[entry[entry >= 0]] = True
         if (new := entry < 0).any():
             entry[new] = self._learn(coded.dictionary.filter(pa.array(new)))
         heads = pc.if_else(unsafe, texts, pc.list_element(parts, 0)).to_pylist()
