@@ -43,7 +43,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
     ship(spark)
-    return pack(docs, BYTE_BPE)
+    # workers outlive their stage: what they remember stands beside the other stages' memory
+    return pack(docs, BYTE_BPE, remembered=300_000)
 
 
 STAGES = [

@@ -130,8 +130,9 @@ class WordCachedEncoder:
 _ENCODERS: dict[tuple, WordCachedEncoder] = {}
 
 
-def encoder(path: str, end_id: int | None = 0) -> WordCachedEncoder:
+def encoder(path: str, end_id: int | None = 0, remembered: int = REMEMBERED) -> WordCachedEncoder:
     """This Python worker's encoder of a vocabulary file."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordCachedEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    key = path, end_id, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordCachedEncoder(path, end_id, remembered)
+    return _ENCODERS[key]

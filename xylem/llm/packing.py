@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xylem.llm.bpe import encoder
+from xylem.llm.bpe import REMEMBERED, encoder
 from xylem.llm.common import cut, doc_frame, slices
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), descending
@@ -197,15 +197,16 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part i
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 4000, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with their sequence and their place in it.
 
     A document longer than capacity is cut into pieces of capacity tokens, of
     which the first takes the remainder. Sequences are gapless from offset 0.
+    remembered bounds the words that a worker keeps encoded.
     """
 
     def cut_up(batches):
-        coder, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer, end_id, remembered), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for run in slices(batch):

@@ -37,6 +37,8 @@ ROUNDS = 4
 #: Pseudo-labels of each class that a view gives in a round, at most, and how sure it must be.
 GIVEN, SURE = 300, 0.97
 CUT = 0.5
+#: Text worked on at a time.
+STEP_BYTES = 1 << 20
 RATIOS = 8
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white, 1 of words, 2 punctuation
@@ -221,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     def features(batches):
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 row, bins, ratios = text_features(run.column(1))
                 pair = np.unique(row * BINS + bins)
                 bounds = np.searchsorted(pair // BINS, np.arange(run.num_rows + 1)).tolist()
@@ -252,7 +254,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, **bounds) ->
 
     def score(batches):
         for batch in batches:
-            for run in slices(batch, own.index("text")):
+            for run in slices(batch, own.index("text"), STEP_BYTES):
                 pick = lambda c: run.column(own.index(c)).to_pylist() if c in own else [None] * run.num_rows  # noqa: B023, E731
                 if model.value is None:
                     found = [np.ones(run.num_rows)] * 3
