@@ -355,6 +355,31 @@ def test_bins_against_exhaustive_search():
         assert used == counts
 
 
+def test_bins_that_best_fit_misses():
+    """Exact fillings that need several pieces, and fillings that are best used fewer times than the counts allow."""
+
+    def fewest(items, capacity):
+        best = [(0, capacity)] + [(len(items) + 1, 0)] * (2 ** len(items) - 1)  # bins and what is in the last, by subset
+        for m, (bins, full) in enumerate(best):  # larger subsets come later
+            for j, x in enumerate(items):
+                if not m >> j & 1:
+                    best[m | 1 << j] = min(best[m | 1 << j], (bins, full + x) if full + x <= capacity else (bins + 1, x))
+        return best[-1][0]
+
+    rng = np.random.default_rng(5)
+    cases = [(20, [10, 8, 8, 8, 6, 6, 5, 5, 4]), *((c, rng.integers(c // 6, c * 7 // 10, 10).tolist()) for c in [20, 30, 50, 100] * 8)]
+    for capacity, items in cases:
+        counts = {x: items.count(x) for x in items}
+        solution = packing.complete_bins(counts, capacity)
+        used = defaultdict(int)
+        for pattern, n in solution:
+            assert sum(x * m for x, m in pattern) <= capacity
+            for x, m in pattern:
+                used[x] += m * n
+        assert used == counts and sum(n for _, n in solution) == fewest(items, capacity) >= packing.fewest_bins(counts, capacity)
+    assert sum(n for _, n in packing.complete_bins({1: 3000, 1500: 3, 1000: 7}, 2048)) == 8
+
+
 # 6
 
 

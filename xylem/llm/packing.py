@@ -7,10 +7,12 @@ those counts, and the cluster gives pieces their places by rank within their
 length. No tokens are shuffled.
 
 The solver takes the largest length left, enumerates the undominated fillings
-around it, best fit first, and commits a filling as often as the counts last.
-A filling's waste is charged against the waste that a better solution than
-the incumbent may have in all; branches beyond it are cut. The first incumbent
-is best-fit decreasing.
+around it, the least waste first, and commits a filling as often as the counts
+last, then half as often, and so on down to once. A filling's waste is charged
+against the waste that a better solution than the incumbent may have in all;
+branches beyond it are cut, as are counts met before. The first incumbent is
+best-fit decreasing. Nothing that could be better is left out, so the search
+ends with the fewest bins, unless its budget of nodes ends first.
 
 Nulls: a null text is empty, so its piece is the end id alone. Repeated rows
 are packed each. An empty table gives no rows. Other columns are ignored.
@@ -19,7 +21,11 @@ are packed each. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -64,119 +70,182 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[Pat
     return [x for some in bins.values() for x in some.items()]
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int = 6, steps: int = 3000) -> list[tuple[int, list[int]]]:
-    """Undominated multisets of the lengths (descending) that fit in room: (waste, filling), the least waste first.
-
-    A filling is dominated if a longer length that is left could stand for one
-    of its members, or one length for two of them. At most `steps` nodes are
-    visited; `most` fillings are kept.
-    """
-    found: list[tuple[int, list[int]]] = []
-    present, taken = set(lengths), Counter()
-    budget = steps
-
-    def dominated(chosen: list[int], waste: int) -> bool:
-        if any(x <= waste and counts[x] > taken[x] for x in lengths[-1:]):
-            return True
-        for x in set(chosen):
-            if waste and any(y in present and counts[y] > taken[y] for y in range(x + 1, x + min(waste, 64) + 1)):
-                return True
-        return len(chosen) > 1 and any((s := chosen[i] + chosen[i + 1]) in present and counts[s] > taken[s] for i in range(len(chosen) - 1))
-
-    def walk(at: int, room: int, chosen: list[int]) -> bool:
-        nonlocal budget
-        budget -= 1
-        if room == 0 or at >= len(lengths) or lengths[-1] > room:
-            if room == 0 or not dominated(chosen, room):
-                found.append((room, list(chosen)))
-            return room == 0
-        lo, hi = at, len(lengths)
-        while lo < hi:  # the first length that fits
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if lengths[mid] > room else (lo, mid)
-        placed = False
-        if lo < len(lengths) and room in present and counts[room] > taken[room] and room <= lengths[at]:
-            lo = lengths.index(room)
-        for i in range(lo, len(lengths)):
-            x = lengths[i]
-            if counts[x] > taken[x]:
-                placed = True
-                taken[x] += 1
-                chosen.append(x)
-                done = walk(i, room - x, chosen)
-                chosen.pop()
-                taken[x] -= 1
-                if done or budget <= 0:
-                    return done
-        if not placed and not dominated(chosen, room):
-            found.append((room, list(chosen)))
-        return False
-
-    walk(0, room, [])
-    found.sort(key=lambda x: (x[0], len(x[1])))
-    return found[:most] or [(room, [])]
-
-
-def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 4000) -> list[tuple[Pattern, int]]:
+def fewest_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound of the bins: the total, and lengths beyond half a bin, which never meet (Martello and Toth's L2)."""
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    upto, sums = np.cumsum(n).tolist(), np.cumsum(n * np.arange(capacity + 1)).tolist()
+    half, bounds = capacity // 2, [-(-sums[-1] // capacity)]
+    for k in range(1, half + 1):
+        wide = upto[capacity - k] - upto[half]
+        room = capacity * wide - (sums[capacity - k] - sums[half])
+        bounds.append(upto[-1] - upto[half] + max(0, -(-(sums[half] - sums[k - 1] - room) // capacity)))
+    return max(bounds)
+
+
+class Completion:
+    """A search over counts of lengths. `left` are the counts not yet committed, `steps` what enumeration may still visit."""
+
+    def __init__(self, counts: dict[int, int], capacity: int, steps: int):
+        self.capacity, self.steps = capacity, steps
+        self.lengths = sorted(counts, reverse=True)
+        self.negative = [-x for x in self.lengths]
+        self.left = dict(counts)
+
+    def sums(self, top: int) -> list[int]:
+        """For each place in lengths from top on, the sums, as bits, that can be made of what is left from there on."""
+        out, bits, mask = [0] * len(self.lengths), 1, (1 << self.capacity + 1) - 1
+        for i in range(len(self.lengths) - 1, top - 1, -1):
+            x = self.lengths[i]
+            n, k = min(self.left[x], self.capacity // x), 1
+            while n > 0:
+                k = min(k, n)
+                bits |= bits << x * k
+                n, k = n - k, 2 * k
+            bits &= mask
+            out[i] = bits
+        return out
+
+    def fillings(self, top: int, sums: list[int], most: int) -> Iterator[tuple[int, list[int]]]:
+        """(waste, members) of each undominated filling around the length at top with at most this waste, the least waste first.
+
+        A filling is dominated if a length that is left fits beside it, could
+        stand for a shorter member, or is the sum of two or more members.
+        Among fillings of equal waste those of fewest members, then the most
+        even, come first: the shortest lengths are what the last bins need.
+        sums may be those of an earlier state with more left.
+        """
+        left, lengths = self.left, self.lengths
+        first = lengths[top]
+        least = next(x for x in reversed(lengths) if left[x])
+        chosen, taken, room = [first], Counter([first]), self.capacity - first
+
+        def free(x: int) -> bool:
+            return left.get(x, 0) > taken[x]
+
+        if room == 0 or free(room):  # one length that fills the room dominates all else
+            yield 0, [first, room] if room else [first]
+            return
+        if left[least] > self.capacity // least:
+            most = min(most, least - 1)
+        for waste in range(min(room, most) + 1):
+            if not sums[top] >> room - waste & 1:
+                continue
+            for members in range(-(-(room - waste) // first), (room - waste) // least + 1):
+                need, k, at, tries = room - waste, members, top, []
+                while True:
+                    self.steps -= 1
+                    if self.steps <= 0:
+                        return
+                    if k == 0:
+                        if not waste or not any(map(free, range(1, waste + 1))) and not any(free(y) for x in set(chosen) for y in range(x + 1, x + waste + 1)):
+                            yield waste, list(chosen)
+                        i = -1
+                    elif k > 1 and free(need):
+                        i = -1
+                    else:  # the shortest length that can be the longest of k
+                        i = bisect_right(self.negative, -(-(-need // k))) - 1
+                    while True:
+                        while i >= at:
+                            x = lengths[i]
+                            if x > need - (k - 1) * least:
+                                i = -1
+                            elif left[x] > taken[x] and (sums[i] >> need - x & 1 if k > 1 else x == need) and not free(x + chosen[-1]):
+                                break
+                            else:
+                                i -= 1
+                        if i >= at or not tries:
+                            break
+                        at, i = tries.pop()
+                        x = chosen.pop()
+                        taken[x] -= 1
+                        need, k, i = need + x, k + 1, i - 1
+                    if i < at:
+                        break
+                    tries.append((at, i))
+                    chosen.append(x)
+                    taken[x] += 1
+                    need, k, at = need - x, k - 1, i
+
+
+@dataclass
+class Node:
+    """The counts at one point of a search, and the filling that is committed there."""
+
+    options: Iterator[tuple[int, list[int]]]
+    top: int
+    sums: list[int]
+    gone: int  # lengths used up since sums were made
+    waste: int
+    bins: int
+    state: int
+    spoil: int = 0
+    pattern: Pattern = ()
+    tries: int = 0  # times to try next
+    times: int = 0
+
+
+def complete_bins(counts: dict[int, int], capacity: int, nodes: int = 100_000) -> list[tuple[Pattern, int]]:
     """Fillings and how often each is used, for all the counts, in as few bins as the search finds.
 
-    It stops at a proof (the bins are no more than ceil(total / capacity)) or
-    after `nodes` nodes, with the best incumbent.
+    It stops at a proof (a lower bound is met, or nothing is left to try), or
+    with the best incumbent after `nodes` nodes or 100 times as many steps of enumeration.
     """
     counts = {k: n for k, n in counts.items() if n > 0}
     total = sum(k * n for k, n in counts.items())
-    least = -(-total // capacity)
     best = best_fit_decreasing(counts, capacity)
-    best_bins = sum(n for _, n in best)
-    left = dict(counts)
-    lengths = sorted(left, reverse=True)
-    stack: list[list] = []  # [options, next option, committed pattern or None, times, waste before]
-    waste = 0
-
-    def options() -> list[tuple[int, list[int]]]:
-        top = lengths[0]
-        left[top] -= 1
-        rest = lengths if left[top] else lengths[1:]
-        out = fillings(rest, left, capacity - top) if rest else [(capacity - top, [])]
-        left[top] += 1
-        return [(w, [top, *f]) for w, f in out]
-
-    while best_bins > least and nodes > 0:
-        if not lengths:  # a whole solution
-            bins = sum(x[3] for x in stack)
-            if bins < best_bins:
-                best, best_bins = [(x[2], x[3]) for x in stack], bins
-        elif not stack or stack[-1][2] is not None:
-            stack.append([options(), 0, None, 0, waste])
-        # take the next option of the deepest node that has one
-        while stack:
-            node = stack[-1]
-            if node[2] is not None:
-                for x, m in node[2]:
-                    if not left.get(x, 0):
-                        lengths.append(x)
-                    left[x] = left.get(x, 0) + m * node[3]
-                lengths.sort(reverse=True)
-                node[2] = None
-            waste = node[4]
-            allowed = (best_bins - 1) * capacity - total
-            if node[1] < len(node[0]) and waste + node[0][node[1]][0] <= allowed:
-                spoil, chosen = node[0][node[1]]
-                node[1] += 1
-                pattern = tuple(sorted(Counter(chosen).items(), reverse=True))
-                times = min(left[x] // m for x, m in pattern)
-                if spoil:
-                    times = max(1, min(times, (allowed - waste) // spoil))
-                for x, m in pattern:
-                    left[x] -= m * times
-                lengths = [x for x in lengths if left[x]]
-                node[2], node[3] = pattern, times
-                waste += spoil * times
-                nodes -= 1
-                break
-            stack.pop()
+    best_bins, least = sum(n for _, n in best), fewest_bins(counts, capacity)
+    if best_bins <= least:
+        return best
+    search = Completion(counts, capacity, 100 * nodes)
+    left, lengths = search.left, search.lengths
+    draw = Random(0)
+    code = {x: draw.getrandbits(100) for x in lengths}
+    state = sum(code[x] * n for x, n in left.items())  # tells counts apart
+    met: dict[int, int] = {}  # state -> the fewest bins it was met with
+    stack: list[Node] = []
+    top = gone = waste = bins = 0
+    sums, fresh = search.sums(0), True
+    while nodes > 0 and search.steps > 0:
+        if fresh:
+            while top < len(lengths) and not left[lengths[top]]:
+                top += 1
+            if top == len(lengths):  # a whole solution
+                if bins < best_bins:
+                    best, best_bins = [(x.pattern, x.times) for x in stack], bins
+                if best_bins <= least:
+                    break
+            elif met.get(state, best_bins) > bins:
+                met[state] = bins
+                if gone > 30:
+                    sums, gone = search.sums(top), 0
+                stack.append(Node(search.fillings(top, sums, (best_bins - 1) * capacity - total - waste), top, sums, gone, waste, bins, state))
         if not stack:
             break
+        # take the next option of the deepest node
+        fresh, node = False, stack[-1]
+        for x, m in node.pattern:
+            left[x] += m * node.times
+        node.times = 0
+        if not node.tries:
+            found = next(node.options, None)
+            if found is None:
+                stack.pop()
+                continue
+            node.spoil, node.pattern = found[0], tuple(Counter(found[1]).items())
+            node.tries = min(left[x] // m for x, m in node.pattern)
+        times, allowed = node.tries, (best_bins - 1) * capacity - total - node.waste
+        node.tries //= 2
+        if node.spoil * times > allowed:
+            continue
+        nodes -= 1
+        node.times = times
+        top, sums, gone, waste, bins, state = node.top, node.sums, node.gone, node.waste + node.spoil * times, node.bins + times, node.state
+        for x, m in node.pattern:
+            left[x] -= m * times
+            gone += not left[x]
+            state -= code[x] * m * times
+        fresh = True
     return best
 
 
@@ -197,7 +266,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part i
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 4000, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, nodes: int = 100_000, remembered: int = REMEMBERED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with their sequence and their place in it.
 
     A document longer than capacity is cut into pieces of capacity tokens, of
