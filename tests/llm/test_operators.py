@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from xylem.llm import embed_dedup, langid, ngram_join, packing, quality, secrets, sp_sampling, suffix_dedup, token_files, topk
-from xylem.llm.bpe import WordCachedEncoder
+from xylem.llm.bpe import WordCachedEncoder, encoder
 from xylem.llm.components import connected_components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -262,6 +262,24 @@ def test_encoder_is_the_tokenizer():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == encoded(tokenizer, t).tolist(), t
 
 
+def test_special_tokens_in_texts(spark):
+    """Plain Tokenizer.encode(text, add_special_tokens=False), by the encoder and in the results of both operators."""
+    tokenizer, end = Tokenizer.from_file(BPE), "<|endoftext|>"
+    assert tokenizer.encode(f"end{end} x", add_special_tokens=False).ids == [437, 50256, 2124]
+    texts = [f"end{end} x", f"a b  {end}", f"a b {end}  c", f"{end}{end}", f" {end} ", f"x\n {end}\ny z", "<|endof text|> a", f"a{end[:-1]} {end}b c", *ODD]
+    own = encoder(BPE)
+    for _ in range(2):
+        ids, bounds = own.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoded(tokenizer, t).tolist(), t
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [encoded(tokenizer, t) for t in texts]
+    got = by_doc(token_files.read_token_files(token_files.write_token_files(docs, BPE)))
+    assert [(got[i]["n_tokens"], got[i]["ids_crc32"]) for i in range(len(texts))] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+    packed = by_doc(packing.pack(docs, BPE))
+    assert [(packed[i]["length"], packed[i]["ids_crc32"]) for i in range(len(texts))] == [(len(x), zlib.crc32(x.tobytes())) for x in want]
+
+
 def test_token_files(spark, docs, none):
     tokenizer = Tokenizer.from_file(BPE)
     manifest = token_files.write_token_files(docs, BPE)

@@ -3,7 +3,9 @@
 The vocabulary's pre-tokeniser never joins a space to what stands before it,
 except inside a run of white space. So a text may be cut before each space
 whose neighbours aren't both white space: the ids of the parts, end to end,
-are the ids of the text. Texts with other spaces are encoded in one piece.
+are the ids of the text. Texts with other spaces are encoded in one piece, and
+so are texts that hold an added token such as <|endoftext|>: the library takes
+these out of the text first, so that what stands before one ends there.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ REMEMBERED = 1_000_000
 
 
 class WordCachedEncoder:
-    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives, each text followed by end_id."""
+    """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives, each text followed by end_id.
 
-    def __init__(self, path: str, end_id: int | None = 0, remembered: int = REMEMBERED):
+    special_as_text sets the library's encode_special_tokens: special tokens in a text are then text like any other.
+    """
+
+    def __init__(self, path: str, end_id: int | None = 0, remembered: int = REMEMBERED, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.end_id, self.remembered = end_id, remembered
         (self.newline,) = self._encode(["\n"])[0]
@@ -102,6 +108,8 @@ class WordCachedEncoder:
         n = len(texts)
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         unsafe = pc.match_substring_regex(texts, UNSAFE)
+        for token in self.added:
+            unsafe = pc.or_(unsafe, pc.match_substring(texts, token))
         parts = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
@@ -131,8 +139,8 @@ _ENCODERS: dict[tuple, WordCachedEncoder] = {}
 
 
 def encoder(path: str, end_id: int | None = 0, remembered: int = REMEMBERED) -> WordCachedEncoder:
-    """This Python worker's encoder of a vocabulary file."""
+    """This Python worker's encoder of a vocabulary file: plain Tokenizer.encode, where special tokens in a text are themselves."""
     key = path, end_id, remembered
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordCachedEncoder(path, end_id, remembered)
+        _ENCODERS[key] = WordCachedEncoder(path, end_id, remembered, special_as_text=False)
     return _ENCODERS[key]
