@@ -489,6 +489,18 @@ def test_quality_on_held_out_rows(spark):
     assert quality.classify(docs.where("false"), one).count() == 0
 
 
+def test_quality_pool_has_no_labels_and_grows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{WORDS[i % 5]} {'good' if i % 2 else 'bad***'} page", "en", "a" if i % 2 else "b", 10) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda *a: seen.append(a) or real(*a))
+    monkeypatch.setattr(quality, "GIVEN", 5)
+    assert quality.train(docs, labels, labelled=200, pool=40, rounds=3) is not None
+    y, drawn = seen[0][3], seen[0][5]
+    assert (y >= 0).sum() == 200 and (y < 0).sum() == 40 + 2 * 4 * 5
+    assert sorted(drawn[y < 0]) == list(range(80))
+
+
 # 10
 
 

@@ -9,8 +9,10 @@ from, and a logistic regression on both calibrated views gives the score.
 
 A document is acceptable if its label has quality 1 and toxic 0 (null: 0).
 
-Learning is on bounded samples, those with the least hash of doc_id:
-LABELLED labelled documents and POOL others. Scoring reads all whole texts.
+Learning is on bounded samples, those with the least hash of doc_id: LABELLED
+labelled documents and a pool of POOL documents without a label. After each
+round the pool gets as many new ones, of all that have no label, as were
+labelled in it. Scoring reads all whole texts.
 
 Nulls: a null text is empty; null metadata is a value of its own; labels with
 a null quality teach nothing. With labels of one class only, or none, every
@@ -114,13 +116,11 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _telling(row: np.ndarray, bins: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _telling(bags: list[np.ndarray], y: np.ndarray, known: np.ndarray) -> np.ndarray:
     """The bins that tell the classes of the known rows apart best: at most FEATURES, with |z| of 4 or more."""
-    some = known[row]
-    pair = np.unique(row[some] * BINS + bins[some])
-    r, c = pair // BINS, pair % BINS
-    good = np.bincount(c[y[r] == 1], minlength=BINS)
-    bad = np.bincount(c[y[r] == 0], minlength=BINS)
+    bad, good = np.zeros((2, BINS), np.int64)
+    for i in np.flatnonzero(known):
+        (bad, good)[y[i]][np.unique(bags[i])] += 1
     n1, n0 = max(1, int((y[known] == 1).sum())), max(1, int((y[known] == 0).sum()))
     p = (good + bad + 1) / (n1 + n0 + 2)
     z = np.abs(good / n1 - bad / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
@@ -159,23 +159,31 @@ class CoTrained:
         return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
 
 
-def co_train(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """Learn from documents given as bags of bins, ratios and metadata; y is 1, 0, or -1 where unlabelled. None if there is one class only."""
+def co_train(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: np.ndarray, rounds: int = ROUNDS, drawn: np.ndarray | None = None, pool: int = POOL) -> CoTrained | None:
+    """Learn from documents given as bags of bins, ratios and metadata; y is 1, 0, or -1 where unlabelled. None if there is one class only.
+
+    drawn is the order in which unlabelled documents enter the pool, from 0; without it they enter as they stand.
+    """
     known = y >= 0
+    if drawn is None:
+        drawn = np.cumsum(~known) - 1
     if len(np.unique(y[known])) < 2:
         return None
-    row = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-    bins = np.concatenate(bags) if len(row) else np.empty(0, np.int64)
     # every fourth labelled document is kept for calibration
     nth = np.cumsum(known)
     kept = known & (nth % 4 == 0)
     if len(np.unique(y[kept])) < 2:
         kept = known
     learn = known & ~kept if (known & ~kept).any() and len(np.unique(y[known & ~kept])) == 2 else known
-    chosen = _telling(row, bins, y, learn)
+    chosen = _telling(bags, y, learn)
     names = sorted({v for x in meta for v in metadata_values(*x)})
     model = CoTrained(chosen, None, {v: k for k, v in enumerate(names)}, None, ((1.0, 0.0), (1.0, 0.0)), np.array([1.0, 0.0, 0.0]))
-    views = [(*model._chosen(row, bins), len(chosen) + 1, ratios), (*model._meta(meta), len(names), np.zeros((len(y), 0)))]
+    pairs = []
+    for i in range(0, len(bags), 1000):  # all documents' bins at once would take several times their memory
+        some = bags[i : i + 1000]
+        row, col = model._chosen(np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some))
+        pairs.append((row + i, col))
+    views = [(*(np.concatenate(x) for x in zip(*pairs, strict=True)), len(chosen) + 1, ratios), (*model._meta(meta), len(names), np.zeros((len(y), 0)))]
     labels = [np.where(learn, y, -1), np.where(learn, y, -1)]
 
     def fit(k):
@@ -191,12 +199,14 @@ def co_train(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: n
         new = [x.copy() for x in labels]
         for k in (0, 1):
             p = _sigmoid(models[k].logit(*views[k][:2], views[k][3]))
-            free = (labels[1 - k] < 0) & ~known
+            free = (labels[1 - k] < 0) & ~known & (drawn < pool)
             for value, sure in ((1, p), (0, 1 - p)):
                 order = np.argsort(-np.where(free, sure, -1), kind="stable")[:GIVEN]
                 new[1 - k][order[free[order] & (sure[order] >= SURE)]] = value
         if all((a == b).all() for a, b in zip(new, labels, strict=True)):
             break
+        taken = lambda x: ((x[0] >= 0) | (x[1] >= 0)) & ~known
+        pool += int((taken(new) & ~taken(labels)).sum())
         labels = new
         models = [fit(0), fit(1)]
     z = [m.logit(*v[:2], v[3])[kept] for m, v in zip(models, views, strict=True)]
@@ -216,10 +226,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     """Co-train on bounded samples of docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
     h = F.xxhash64("doc_id")
     target = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1).otherwise(0)
-    taught = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), target.alias("y")).orderBy(F.xxhash64("doc_id"), "y").limit(labelled)
-    others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(h).limit(pool)
-    wanted = taught.unionByName(others.withColumn("y", F.lit(-1))).groupBy("doc_id").agg(F.max("y").alias("y"))  # labelled + pool rows at most
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), target.alias("y"))
+    taught = known.orderBy(h, "y").limit(labelled)
+    # a round gives 2 views * 2 classes * GIVEN labels at most, and as many documents enter the pool
+    others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left_anti").orderBy(h).limit(pool + max(0, rounds - 1) * 4 * GIVEN)
+    wanted = taught.unionByName(others.withColumn("y", F.lit(-1))).groupBy("doc_id").agg(F.max("y").alias("y"))  # both samples' rows at most
+    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y", h.alias("h"))
 
     def features(batches):
         for batch in batches:
@@ -230,13 +242,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
                 bins = (pair % BINS).astype("<i4")
                 bags = pa.array([bins[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 dense = pa.array([x.tobytes() for x in ratios], pa.binary())
-                yield pa.RecordBatch.from_arrays([run.column(0), bags, dense, *(run.column(k) for k in range(2, 6))], ["doc_id", "bag", "ratios", "lang", "source", "n_chars", "y"])
+                yield pa.RecordBatch.from_arrays([run.column(0), bags, dense, *(run.column(k) for k in range(2, 7))], ["doc_id", "bag", "ratios", "lang", "source", "n_chars", "y", "h"])
 
-    # labelled + pool rows of distinct words' bins, as bytes: some tens of MB
-    found = sorted(rows.mapInArrow(features, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
+    # both samples' rows of distinct words' bins, as bytes: some tens of MB
+    found = sorted(rows.mapInArrow(features, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int, h long").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
     if not found:
         return None
-    return co_train([np.frombuffer(r["bag"], "<i4").astype(np.int64) for r in found], np.array([np.frombuffer(r["ratios"]) for r in found]), [(r["lang"], r["source"], r["n_chars"]) for r in found], np.array([r["y"] for r in found]), rounds)
+    y, drawn = np.array([r["y"] for r in found]), np.full(len(found), -1)
+    free = np.flatnonzero(y < 0)
+    drawn[free[np.argsort([found[i]["h"] for i in free], kind="stable")]] = np.arange(len(free))
+    return co_train([np.frombuffer(r["bag"], "<i4") for r in found], np.array([np.frombuffer(r["ratios"]) for r in found]), [(r["lang"], r["source"], r["n_chars"]) for r in found], y, rounds, drawn, pool)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
