@@ -539,6 +539,15 @@ def test_language_id(spark, none):
     assert langid.identify(none).count() == 0
 
 
+def test_language_id_learns_whole_texts_and_all_languages(spark):
+    rows = [(4 * i, "123 " * 6000 + "the cat sat on the mat", "zz") for i in range(3)] + [(100 + i, "der hund sitzt auf dem tisch", f"l{i:04}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = langid.learned(docs, langid.F.lit(True))
+    assert len(own.languages) == 1101 and own.predict("the cat on the mat")[0] == "zz"
+    want = langid.Profiles.learn([(lang, t) for _, t, lang in rows])
+    assert own.languages == want.languages and (own.codes == want.codes).all() and (own.ranks == want.ranks).all()
+
+
 def test_digests_bound_what_sets_share():
     rng = np.random.default_rng(9)
     for _ in range(200):

@@ -7,8 +7,8 @@ of how far each is out of place in the language's profile, and PROFILE for
 those that it lacks. The least distance wins; ties go to the lesser name.
 
 Profiles come from a bounded sample of the learning rows: PER_LANGUAGE texts
-of each language at most, those with the least hash of doc_id, up to
-LEARN_CHARS characters each. Prediction reads whole texts.
+of each language at most, those with the least hash of doc_id. Their n-grams
+are counted in tasks. Learning and prediction read whole texts.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. A null
 lang teaches nothing. Without learning rows everything is `und`. Repeated rows
@@ -30,8 +30,6 @@ from xylem.llm.common import slices
 
 PROFILE = 400
 PER_LANGUAGE = 300
-LEARN_CHARS = 20_000
-LANGUAGES = 1000
 UND = "und"
 
 
@@ -59,20 +57,37 @@ def letters(text: str) -> np.ndarray:
     return points[~(space & np.append(False, space[:-1]))]
 
 
-def top_ngrams(points: np.ndarray, most: int = PROFILE) -> np.ndarray:
-    """Codes of the most frequent 1- to 3-grams in order; ties by code. A lone space is no n-gram, nor has one a space inside."""
+def ngrams(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of 1- to 3-grams and how often each is there. A lone space is no n-gram, nor has one a space inside."""
     p = points.astype(np.uint64)
     one = p[p != 32]
     two = (p[:-1] << np.uint64(21)) | p[1:]
     three = (two[:-1] << np.uint64(21)) | p[2:] if len(p) > 2 else np.empty(0, np.uint64)
     three = three[p[1:-1] != 32] if len(three) else three
-    codes, n = np.unique(np.concatenate([one, two, three]), return_counts=True)
+    return np.unique(np.concatenate([one, two, three]), return_counts=True)
+
+
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several texts as one."""
+    codes, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    n = np.zeros(len(codes), np.int64)
+    np.add.at(n, at, np.concatenate([k for _, k in counts]))
+    return codes, n
+
+
+def most_frequent(codes: np.ndarray, n: np.ndarray, most: int = PROFILE) -> np.ndarray:
+    """The most frequent codes in order; ties by code."""
     if len(codes) > most:
         least = np.partition(n, len(n) - most)[len(n) - most]
         codes, n = codes[n >= least], n[n >= least]
     return codes[np.lexsort((codes, -n))][:most]
 
 
+def top_ngrams(points: np.ndarray, most: int = PROFILE) -> np.ndarray:
+    """Codes of the most frequent 1- to 3-grams of a text in order."""
+    return most_frequent(*ngrams(points), most)
+
+
 class Profiles:
     """Profiles of languages, and the distances of texts to them."""
 
@@ -86,10 +101,10 @@ class Profiles:
 
     @classmethod
     def learn(cls, texts: list[tuple[str, str]], most: int = PROFILE) -> Profiles:
-        by: dict[str, list[np.ndarray]] = {}
+        by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lang, text in texts:
-            by.setdefault(lang, []).append(letters(text))
-        return cls({k: top for k, v in by.items() if len(top := top_ngrams(np.concatenate(v), most))})
+            by.setdefault(lang, []).append(ngrams(letters(text)))
+        return cls({k: top for k, v in by.items() if len(top := most_frequent(*summed(v), most))})
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and, from 0 to 1, how much nearer it is than the next one (with one language: than nothing in common)."""
@@ -108,13 +123,13 @@ class Profiles:
         return self.languages[best], 0.0 if not other else round(1 - int(far[best]) / other, 6)
 
 
-def learning_rows(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_language rows of each language, the least hashes of doc_id first.
+def learned(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Profiles:
+    """Profiles of at most per_language rows of each language, the least hashes of doc_id first.
 
     Each task keeps so many rows of a language, then each of 64 does, then each
-    language does: no task sees more than 64 times as many of one. LANGUAGES languages at most are learned.
+    language does: no task sees more than 64 times as many of one.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring("text", 1, LEARN_CHARS).alias("text"))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "text")
 
     def keep(batches):
         kept: dict[str, list] = {}
@@ -126,14 +141,35 @@ def learning_rows(docs: DataFrame, learn: Column, per_language: int = PER_LANGUA
                 if (n := fresh.get(langs[i], 0)) < per_language:
                     fresh[langs[i]] = n + 1
                     kept.setdefault(langs[i], []).append((hashes[i], batch.column(2)[i].as_py()))
-            kept = {k: sorted(v)[:per_language] for k, v in sorted(kept.items())[:LANGUAGES]}
-        flat = [(k, h, t) for k, v in kept.items() for h, t in v]
-        if flat:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat]), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat])], ["lang", "h", "text"])
+            kept = {k: sorted(v)[:per_language] for k, v in kept.items()}
+        for k, v in sorted(kept.items()):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array([h for h, _ in v], pa.int64()), pa.array([t for _, t in v])], ["lang", "h", "text"])
+
+    def profile(batches):
+        # rows come by language, the least hashes first
+        lang, n, counts = None, 0, []
+
+        def ended():
+            top = most_frequent(*counts[0]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([top.tolist()], pa.list_(pa.int64()))], ["lang", "codes"])
+
+        for batch in batches:
+            for own, text in zip(batch.column(0), batch.column(2), strict=True):
+                if own.as_py() != lang:
+                    if counts:
+                        yield ended()
+                    lang, n, counts = own.as_py(), 0, []
+                if n < per_language:
+                    n += 1
+                    counts = [summed([*counts, ngrams(letters(text.as_py()))])]
+        if counts:
+            yield ended()
 
     schema = "lang string, h long, text string"
-    some = rows.mapInArrow(keep, schema).repartition(64).mapInArrow(keep, schema).repartition(16, "lang").mapInArrow(keep, schema)
-    return [(r["lang"], r["text"]) for r in some.collect()]
+    some = rows.mapInArrow(keep, schema).repartition(64).mapInArrow(keep, schema).repartition(16, "lang").sortWithinPartitions("lang", "h", "text")
+    # PROFILE n-grams of each language
+    found = some.select("lang", "h", "text").mapInArrow(profile, "lang string, codes array<long>").collect()
+    return Profiles({r["lang"]: np.array(r["codes"], np.int64).view(np.uint64) for r in found if r["codes"]})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -144,8 +180,8 @@ def identify(docs: DataFrame, learn: Callable[[str], Column] | None = None, per_
     """doc_id, held_out, lang_pred and score of every document. Only rows that aren't held out are learned from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang"))
     held = F.coalesce(held_out(), F.lit(False))
-    profiles = Profiles.learn(learning_rows(docs, learn("doc_id") if learn else ~held, per_language))
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE n-grams of each of LANGUAGES languages at most
+    profiles = learned(docs, learn("doc_id") if learn else ~held, per_language)
+    sent = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE n-grams of each language at most
 
     def predict(batches):
         for batch in batches:
