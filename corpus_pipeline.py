@@ -20,8 +20,21 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays."""
+    """Of each group of near copies the document with the least doc_id stays.
+
+    Rows with the same doc_id and text are one document: one of them stays,
+    that with the least other columns. Rows with the same doc_id and different
+    texts are documents by themselves, as are rows without a doc_id, which
+    stand after all others; ties go by hash.
+    """
     ship(spark)
+    if not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        docs = docs.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("o")).select("doc_id", "text", "o.*")
+        keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+        found = ngram_join.jaccard_components(keyed, id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+        stay = keyed.select("doc_id", "key").join(found, "key").groupBy("component_id").agg(F.min(order)["key"].alias("key")).select("key")
+        return keyed.join(stay, "key", "left_semi").select(*COLUMNS)
     gone = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -66,6 +66,13 @@ def test_one_of_each_group_stays(outputs):
     assert set(after) == {i for i in sets if root(i) == i}
 
 
+def test_repeated_doc_ids(spark):
+    a, b, c = ("".join(f"{w}{k} " for k in range(30)) for w in "abc")
+    docs = spark.createDataFrame([(5, a, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "de", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (9, b, "en", "s", 1), (None, c, "en", "s", 1), (None, a, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"], r["lang"]) for r in got)) == [(0, c, "en"), (5, a, "de"), (7, b, "en")]
+
+
 def test_repeated_strings_go(outputs):
     before, after = rows(outputs[2]), rows(outputs[3])
     assert set(before) == set(after)
