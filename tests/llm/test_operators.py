@@ -187,6 +187,22 @@ def test_topk(spark):
     assert got == want
 
 
+def test_topk_of_repeated_queries(spark):
+    rows = vectors()
+    asked = [*rows, rows[50], rows[100], (100, rows[7][1], 1)]  # a row that stands twice; an id with a vector of its own
+    df = spark.createDataFrame(asked, "vec_id long, embedding array<float>, label int")
+    got = defaultdict(int)
+    for r in topk.top_products(df, df["vec_id"] % 50 == 0).collect():
+        got[tuple(r)] += 1
+    v, ids = np.floor(256 * np.array([r[1] for r in asked])).astype(np.int64), np.array([r[0] for r in asked])
+    want = defaultdict(int)
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = v @ v[q]
+        for k, i in enumerate([i for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:5]):
+            want[ids[q], k + 1, ids[i], s[i]] += 1
+    assert got == want and max(got.values()) >= 2
+
+
 def test_index_stops_on_proof_only():
     rng = np.random.default_rng(2)
     x = np.floor(256 * rng.normal(size=(2000, 32)) / 6).astype(np.int64)

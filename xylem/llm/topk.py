@@ -110,8 +110,10 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     sizes = fine.groupBy("d").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count_if("asks") / QUERIES).cast("int").alias("blocks"))
     dealt = fine.join(F.broadcast(sizes), "d")  # one row for each length of vectors
     h = F.xxhash64("vec_id")
-    asks = dealt.where("asks").select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(h, "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "vec_id", "v")
-    held = dealt.where("blocks > 0").select("d", F.pmod(h, "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "vec_id", "v")
+    # rows that ask with one id are told apart by their number
+    nth = F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "v"))
+    asks = dealt.where("asks").withColumn("nth", nth).select("d", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(h, "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "vec_id", "v", "nth")
+    held = dealt.where("blocks > 0").select("d", F.pmod(h, "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "vec_id", "v", F.lit(0).alias("nth"))
     key = ["d", "shard", "block"]
 
     def answer(batches):
@@ -133,9 +135,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
                         index = ImpactIndex(np.concatenate(ids), np.concatenate(parts))
                     found = [index.top(q, own, k) for q, own in zip(x, vec[i:j].tolist(), strict=True)]
                     n = [len(f[0]) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec[i:j], n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec[i:j], n)), pa.array(np.repeat(batch.column(6).to_numpy()[i:j], n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "nth", "vec_id", "score"])
 
     both = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, "side")
-    found = both.mapInArrow(answer, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = both.mapInArrow(answer, "query_id long, nth int, vec_id long, score long")
+    best = Window.partitionBy("query_id", "nth").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
