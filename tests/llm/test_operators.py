@@ -505,16 +505,37 @@ def test_quality_on_held_out_rows(spark):
     assert quality.classify(docs.where("false"), one).count() == 0
 
 
-def test_quality_pool_has_no_labels_and_grows(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"{WORDS[i % 5]} {'good' if i % 2 else 'bad***'} page", "en", "a" if i % 2 else "b", 10) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+def test_quality_pool_is_every_unlabelled_document(spark):
+    """Pseudo-labels come from documents without a label, wherever they stand; each teaches a view once."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join([*rng.choice(WORDS, int(rng.integers(20, 90))), str(i), "good" if i % 2 else "bad***"]) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", "a" if i % 2 else "b", 10) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    seen, real = [], quality.co_train
-    monkeypatch.setattr(quality, "co_train", lambda *a: seen.append(a) or real(*a))
-    monkeypatch.setattr(quality, "GIVEN", 5)
-    assert quality.train(docs, labels, labelled=200, pool=40, rounds=3) is not None
-    y, drawn = seen[0][3], seen[0][5]
-    assert (y >= 0).sum() == 200 and (y < 0).sum() == 40 + 2 * 4 * 5
-    assert sorted(drawn[y < 0]) == list(range(80))
+    model = quality.train(docs, labels, given=5, rounds=3)
+    assert all(len(x) == 3 * 2 * 5 for x in model.taken)
+    # with room for all of them, all are taken
+    model = quality.train(docs, labels, given=1000, rounds=4)
+    assert all(len(x) == 200 for x in model.taken)
+    assert quality.train(docs, labels.unionByName(docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic")), given=1000).taken == (frozenset(), frozenset())
+
+
+def test_quality_draws_are_even_over_partitions():
+    rng = np.random.default_rng(3)
+    view, y, prints = rng.integers(0, 2, 500), rng.integers(0, 2, 500), rng.integers(0, 60, 500)
+    got = quality._drawn(view, y, prints, 7)
+    want = {(v, c, p) for v in (0, 1) for c in (0, 1) for p in sorted({int(x) for x in prints[(view == v) & (y == c)]})[:7]}
+    assert {(view[i], y[i], prints[i]) for i in got} == want and len(got) == len(want)
+    assert len(quality._drawn(view[:0], y[:0], prints[:0], 7)) == 0
+
+
+def test_quality_against_given_labels(spark):
+    """Held-out accuracy on the tables' own labels: fitted on three quarters of them, judged on the rest."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (df.unionByName(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").where("doc_id >= 200")) for df, t in ((docs, "documents"), (labels, "labels")))
+    held = labels.where("doc_id % 4 = 0 AND quality IS NOT NULL")
+    got = by_doc(quality.classify(docs, labels.where("doc_id % 4 <> 0")))
+    pairs = [(got[r["doc_id"]]["keep"], r["quality"] == 1 and r["toxic"] != 1) for r in held.collect() if r["doc_id"] in got]
+    assert len(pairs) > 50 and sum(a == b for a, b in pairs) >= 0.95 * len(pairs)
 
 
 # 10

@@ -2,26 +2,36 @@
 
 Two views of a page: its text (hashed words, runs of punctuation and a few
 ratios) and its metadata (source, language, length). Each has a logistic
-regression. In each round, either classifier labels the unlabelled documents
-that it is surest of, for the other to learn from. At the end each view is
-calibrated (Platt scaling) on labelled documents that neither has learned
-from, and a logistic regression on both calibrated views gives the score.
+regression. In each round, both classifiers score all documents without a
+label; of those that one is sure of, GIVEN of each class teach the other. At
+the end each view is calibrated (Platt scaling) on labelled documents that
+neither has learned from, and a logistic regression on both calibrated views
+gives the score.
 
 A document is acceptable if its label has quality 1 and toxic 0 (null: 0).
 
-Learning is on bounded samples, those with the least hash of doc_id: LABELLED
-labelled documents and a pool of POOL documents without a label. After each
-round the pool gets as many new ones, of all that have no label, as were
-labelled in it. Scoring reads all whole texts.
+What is bounded: LABELLED labelled documents, those with the least hash of
+doc_id, and GIVEN pseudo-labels of a class that a view gives in a round, those
+with the least hash of their features, which is a uniform draw of all the
+distinct ones it is sure of. So one task fits, whatever the corpus, and the
+driver gets weights only. The pool is every document without a label: their
+features are written once and scored in every round. Scoring reads all whole
+texts.
 
 Nulls: a null text is empty; null metadata is a value of its own; labels with
-a null quality teach nothing. With labels of one class only, or none, every
-document scores 1 and is kept. Repeated rows are each scored. An empty table
-gives no rows. Other columns are kept as they are by `classify`.
+a null quality or doc_id teach nothing, nor does a null doc_id's row have a
+label. A doc_id with several labels has the best of them; with several rows,
+one row of them teaches. With labels of one class only, or none, every
+document scores 1 and is kept. Documents with the same text and metadata have
+the same score (ties are kept or go together). Repeated rows are each scored.
+An empty table gives no rows. Texts of any length are read whole, STEP_BYTES or
+one text at a time. Other columns are kept as they are by `classify`; columns
+that it adds replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import prefix_hash, slices, span_hash, text_bytes
+from xylem.llm.common import cut, discard, prefix_hash, slices, span_hash, text_bytes
 from xylem.llm.shingles import _LOWER, _WHITE
 
-LABELLED, POOL = 12_000, 6_000
+LABELLED = 12_000
 BINS = 1 << 17
 FEATURES = 3000
 ROUNDS = 4
@@ -130,7 +140,7 @@ def _telling(bags: list[np.ndarray], y: np.ndarray, known: np.ndarray) -> np.nda
 
 @dataclass
 class CoTrained:
-    """The two views with their calibration, and the weights that combine them."""
+    """The two views with their calibration, and the weights that combine them; taken: prints of the pseudo-labelled documents that have taught each view."""
 
     bins: np.ndarray
     text: Logistic
@@ -138,6 +148,7 @@ class CoTrained:
     meta: Logistic
     platt: tuple[tuple[float, float], tuple[float, float]]
     mix: np.ndarray
+    taken: tuple[frozenset[int], frozenset[int]] = (frozenset(), frozenset())
 
     def scores(self, texts: pa.Array, lang: list, source: list, chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of the text view, of the metadata view, and of both."""
@@ -159,59 +170,56 @@ class CoTrained:
         return np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
 
 
-def co_train(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: np.ndarray, rounds: int = ROUNDS, drawn: np.ndarray | None = None, pool: int = POOL) -> CoTrained | None:
-    """Learn from documents given as bags of bins, ratios and metadata; y is 1, 0, or -1 where unlabelled. None if there is one class only.
-
-    drawn is the order in which unlabelled documents enter the pool, from 0; without it they enter as they stand.
-    """
-    known = y >= 0
-    if drawn is None:
-        drawn = np.cumsum(~known) - 1
-    if len(np.unique(y[known])) < 2:
+@dataclass
+class Taught:
+    """What the views learn from: chosen bins, ratios and metadata of documents, each view's labels (-1: none), and the labels kept for calibration."""
+
+    bins: list[np.ndarray]
+    ratios: np.ndarray
+    meta: list[tuple]
+    labels: list[np.ndarray]
+    kept: np.ndarray
+
+    def add(self, bins: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], view: np.ndarray, y: np.ndarray) -> None:
+        """Pseudo-labelled documents, each for one view."""
+        self.bins += bins
+        self.ratios = np.concatenate([self.ratios, ratios])
+        self.meta += meta
+        self.labels = [np.concatenate([x, np.where(view == k, y, -1)]) for k, x in enumerate(self.labels)]
+        self.kept = np.concatenate([self.kept, np.full(len(y), -1)])
+
+
+def begin(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: np.ndarray) -> tuple[np.ndarray, Taught] | None:
+    """The bins that tell labelled documents apart, and what the views learn from at first. None if there is one class only."""
+    if len(np.unique(y)) < 2:
         return None
-    # every fourth labelled document is kept for calibration
-    nth = np.cumsum(known)
-    kept = known & (nth % 4 == 0)
+    # every fourth document is kept for calibration
+    kept = np.arange(1, len(y) + 1) % 4 == 0
     if len(np.unique(y[kept])) < 2:
-        kept = known
-    learn = known & ~kept if (known & ~kept).any() and len(np.unique(y[known & ~kept])) == 2 else known
+        kept = np.ones(len(y), bool)
+    learn = ~kept if (~kept).any() and len(np.unique(y[~kept])) == 2 else np.ones(len(y), bool)
     chosen = _telling(bags, y, learn)
-    names = sorted({v for x in meta for v in metadata_values(*x)})
+    own = [np.searchsorted(chosen, x[np.isin(x, chosen)]).astype(np.uint16) for x in bags]
+    labels = np.where(learn, y, -1)
+    return chosen, Taught(own, ratios, meta, [labels, labels.copy()], np.where(kept, y, -1))
+
+
+def fitted(chosen: np.ndarray, taught: Taught) -> CoTrained:
+    """Both views fitted to their labels, calibrated and combined on the documents kept for that."""
+    names = sorted({v for x in taught.meta for v in metadata_values(*x)})
     model = CoTrained(chosen, None, {v: k for k, v in enumerate(names)}, None, ((1.0, 0.0), (1.0, 0.0)), np.array([1.0, 0.0, 0.0]))
-    pairs = []
-    for i in range(0, len(bags), 1000):  # all documents' bins at once would take several times their memory
-        some = bags[i : i + 1000]
-        row, col = model._chosen(np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some))
-        pairs.append((row + i, col))
-    views = [(*(np.concatenate(x) for x in zip(*pairs, strict=True)), len(chosen) + 1, ratios), (*model._meta(meta), len(names), np.zeros((len(y), 0)))]
-    labels = [np.where(learn, y, -1), np.where(learn, y, -1)]
-
-    def fit(k):
-        r, c, width, dense = views[k]
-        use = labels[k] >= 0
-        at = np.cumsum(use) - 1
-        own = use[r]
-        share = np.array([(labels[k] == v).sum() for v in (0, 1)], float)
-        return Logistic.fit(at[r[own]], c[own], width, dense[use], labels[k][use].astype(float), 1 / share[labels[k][use]])
-
-    models = [fit(0), fit(1)]
-    for _ in range(rounds):
-        new = [x.copy() for x in labels]
-        for k in (0, 1):
-            p = _sigmoid(models[k].logit(*views[k][:2], views[k][3]))
-            free = (labels[1 - k] < 0) & ~known & (drawn < pool)
-            for value, sure in ((1, p), (0, 1 - p)):
-                order = np.argsort(-np.where(free, sure, -1), kind="stable")[:GIVEN]
-                new[1 - k][order[free[order] & (sure[order] >= SURE)]] = value
-        if all((a == b).all() for a, b in zip(new, labels, strict=True)):
-            break
-        taken = lambda x: ((x[0] >= 0) | (x[1] >= 0)) & ~known
-        pool += int((taken(new) & ~taken(labels)).sum())
-        labels = new
-        models = [fit(0), fit(1)]
-    z = [m.logit(*v[:2], v[3])[kept] for m, v in zip(models, views, strict=True)]
-    target, even = y[kept].astype(float), np.ones(int(kept.sum()))
-    none = np.empty(0, np.int64)
+    n = len(taught.bins)
+    row, col = np.repeat(np.arange(n), [len(x) for x in taught.bins]), np.concatenate(taught.bins).astype(np.int64)
+    views = [(row, col, len(chosen) + 1, taught.ratios), (*model._meta(taught.meta), len(names), np.zeros((n, 0)))]
+    models = []
+    for (r, c, width, dense), labels in zip(views, taught.labels, strict=True):
+        use = labels >= 0
+        at, own = np.cumsum(use) - 1, use[r]
+        share = np.array([(labels == v).sum() for v in (0, 1)], float)
+        models.append(Logistic.fit(at[r[own]], c[own], width, dense[use], labels[use].astype(float), 1 / share[labels[use]]))
+    kept = taught.kept >= 0
+    z = [m.logit(r, c, dense)[kept] for m, (r, c, _, dense) in zip(models, views, strict=True)]
+    target, even, none = taught.kept[kept].astype(float), np.ones(int(kept.sum())), np.empty(0, np.int64)
     platt = []
     for x in z:
         line = Logistic.fit(none, none, 0, x[:, None] / 10, target, even, 1e-4, 400)
@@ -222,36 +230,155 @@ def co_train(bags: list[np.ndarray], ratios: np.ndarray, meta: list[tuple], y: n
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Co-train on bounded samples of docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic)."""
-    h = F.xxhash64("doc_id")
+def sure_of(model: CoTrained, bins: list[np.ndarray], ratios: np.ndarray, meta: list[tuple]) -> list[np.ndarray]:
+    """For each view, the class that the other view is sure a document has, or -1."""
+    n = len(bins)
+    row, col = np.repeat(np.arange(n), [len(x) for x in bins]), np.concatenate([np.empty(0, np.uint16), *bins]).astype(np.int64)
+    p = [_sigmoid(model.text.logit(row, col, ratios)), _sigmoid(model.meta.logit(*model._meta(meta), np.zeros((n, 0))))]
+    return [np.where(x >= SURE, 1, np.where(x <= 1 - SURE, 0, -1)) for x in reversed(p)]
+
+
+def _drawn(view: np.ndarray, y: np.ndarray, prints: np.ndarray, given: int) -> np.ndarray:
+    """Places of the `given` least distinct prints of each view and class."""
+    order = np.lexsort((prints, y, view))
+    group, p = (view * 2 + y)[order], prints[order]
+    order = order[np.append(True, (group[1:] != group[:-1]) | (p[1:] != p[:-1]))] if len(order) else order
+    group = (view * 2 + y)[order]
+    first = np.searchsorted(group, group)
+    return order[np.arange(len(order)) - first < given]
+
+
+COMPACT = "bins binary, ratios binary, lang string, source string, n_chars long, print long"
+_GIVEN = f"view int, y int, {COMPACT}"
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: int = GIVEN, rounds: int = ROUNDS) -> CoTrained | None:
+    """Co-train on docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality, toxic).
+
+    Both fits and the pool's scores are tasks; the driver sees the weights of each round.
+    """
+    spark, h = docs.sparkSession, F.xxhash64("doc_id")
     target = F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1), 1).otherwise(0)
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), target.alias("y"))
-    taught = known.orderBy(h, "y").limit(labelled)
-    # a round gives 2 views * 2 classes * GIVEN labels at most, and as many documents enter the pool
-    others = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id", "left_anti").orderBy(h).limit(pool + max(0, rounds - 1) * 4 * GIVEN)
-    wanted = taught.unionByName(others.withColumn("y", F.lit(-1))).groupBy("doc_id").agg(F.max("y").alias("y"))  # both samples' rows at most
-    rows = _columns(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y", h.alias("h"))
-
-    def features(batches):
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).alias("y"))
+    taught = known.orderBy(h, "doc_id").limit(labelled)  # labelled rows of two numbers
+    rows = _columns(docs).join(F.broadcast(taught), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
+
+    def bags(batches):
         for batch in batches:
             for run in slices(batch, 1, STEP_BYTES):
                 row, bins, ratios = text_features(run.column(1))
                 pair = np.unique(row * BINS + bins)
                 bounds = np.searchsorted(pair // BINS, np.arange(run.num_rows + 1)).tolist()
                 bins = (pair % BINS).astype("<i4")
-                bags = pa.array([bins[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                dense = pa.array([x.tobytes() for x in ratios], pa.binary())
-                yield pa.RecordBatch.from_arrays([run.column(0), bags, dense, *(run.column(k) for k in range(2, 7))], ["doc_id", "bag", "ratios", "lang", "source", "n_chars", "y", "h"])
+                own = pa.array([bins[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([run.column(0), own, pa.array([x.tobytes() for x in ratios], pa.binary()), *(run.column(k) for k in range(2, 6))], ["doc_id", "bag", "ratios", "lang", "source", "n_chars", "y"])
+
+    def start(batches):
+        found = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        if not found:
+            return
+        found.sort(key=lambda x: x[0])
+        made = begin([np.frombuffer(x[1], "<i4") for x in found], np.array([np.frombuffer(x[2]) for x in found]), [x[3:6] for x in found], np.array([x[6] for x in found]))
+        if made is not None:
+            yield _state(fitted(*made), made[1], 0)
+
+    sample = rows.mapInArrow(bags, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int")
+    # one row of each labelled document: at most `labelled` rows meet in the task that fits
+    one = sample.groupBy("doc_id").agg(F.min(F.struct("bag", "ratios", "lang", "source", "n_chars", "y")).alias("o")).select("doc_id", "o.*")
+    state = cut(one.repartition(1).mapInArrow(start, "model binary, taught binary, added int"))
+    model = _model(state)
+    if model is None or not rounds:
+        discard(state)
+        return model
+    chosen = spark.sparkContext.broadcast(model)
+
+    def compact(batches):
+        for batch in batches:
+            for run in slices(batch, 1, STEP_BYTES):
+                row, bins, ratios = text_features(run.column(1))
+                row, col = chosen.value._chosen(row, bins)
+                bounds, col = np.searchsorted(row, np.arange(run.num_rows + 1)).tolist(), col.astype("<u2")
+                own = [col[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                dense = [x.tobytes() for x in ratios.astype("<f4")]
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array(own, pa.binary()), pa.array(dense, pa.binary()), *(run.column(k) for k in range(2, 5))], ["doc_id", "bins", "ratios", "lang", "source", "n_chars"])
+
+    free = _columns(docs).mapInArrow(compact, f"doc_id long, {COMPACT.removesuffix(', print long')}")
+    pool = cut(free.join(known, "doc_id", "left_anti").select("bins", "ratios", "lang", "source", "n_chars", F.xxhash64("bins", "ratios", "lang", "source", "n_chars").alias("print")))
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+        new = cut(_round(pool, state, sent, given))
+        discard(state)
+        sent.destroy()
+        state, model = new, _model(new)
+        if not state.select("added").first()["added"]:
+            break
+    discard(state, pool)
+    chosen.destroy()
+    return model
 
-    # both samples' rows of distinct words' bins, as bytes: some tens of MB
-    found = sorted(rows.mapInArrow(features, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int, h long").collect(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    if not found:
-        return None
-    y, drawn = np.array([r["y"] for r in found]), np.full(len(found), -1)
-    free = np.flatnonzero(y < 0)
-    drawn[free[np.argsort([found[i]["h"] for i in free], kind="stable")]] = np.arange(len(free))
-    return co_train([np.frombuffer(r["bag"], "<i4") for r in found], np.array([np.frombuffer(r["ratios"]) for r in found]), [(r["lang"], r["source"], r["n_chars"]) for r in found], y, rounds, drawn, pool)
+
+def _round(pool: DataFrame, state: DataFrame, model, given: int) -> DataFrame:
+    """The state after a round: pseudo-labels from all of the pool join what is learned from, and both views are fitted again."""
+
+    def decoded(cols):
+        return [np.frombuffer(x, "<u2") for x in cols[0]], np.array([np.frombuffer(x, "<f4") for x in cols[1]], float).reshape(-1, RATIOS), list(zip(*cols[2:5], strict=True))
+
+    def pick(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols, prints = [c.to_pylist() for c in batch.columns], batch.column(5).to_numpy()
+            view, y, at = [], [], []
+            for k, own in enumerate(sure_of(model.value, *decoded(cols))):
+                taken = model.value.taken[k]
+                hit = np.array([i for i in np.flatnonzero(own >= 0).tolist() if prints[i] not in taken], np.int64)
+                view.append(np.full(len(hit), k, np.int32))
+                y.append(own[hit].astype(np.int32))
+                at.append(hit)
+            view, y, at = (np.concatenate(x) for x in (view, y, at))
+            some = _drawn(view, y, prints[at], given)
+            rest = batch.take(pa.array(at[some]))
+            yield pa.RecordBatch.from_arrays([pa.array(view[some]), pa.array(y[some]), *rest.columns], [c.split()[0] for c in _GIVEN.split(", ")])
+
+    def least(batches):
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([*(held.to_batches() if held is not None else ()), batch]).combine_chunks()
+            view, y, prints = (held.column(k).to_numpy() for k in (0, 1, 7))
+            held = held.take(pa.array(_drawn(view, y, prints, given)))
+        if held is not None:
+            yield from held.to_batches()
+
+    def learn(batches):
+        taught, parts = None, []
+        for batch in batches:
+            for data in batch.column("taught").to_pylist():
+                taught = taught if data is None else pickle.loads(data)
+            parts.append(batch.filter(batch.column("taught").is_null()).select([c.split()[0] for c in _GIVEN.split(", ")]))
+        if taught is None:
+            return
+        rows = pa.Table.from_batches(parts)
+        view, y, prints = (rows.column(k).to_numpy() for k in (0, 1, 7))
+        at = _drawn(view, y, prints, given)
+        taught.add(*decoded([c.to_pylist() for c in rows.take(pa.array(at)).columns[2:7]]), view[at], y[at])
+        new = fitted(model.value.bins, taught)
+        new.taken = tuple(old | set(prints[at][view[at] == k].tolist()) for k, old in enumerate(model.value.taken))  # a document teaches a view once
+        yield _state(new, taught, len(at))
+
+    none = [c.split() for c in _GIVEN.split(", ")]
+    drawn = pool.mapInArrow(pick, _GIVEN).mapInArrow(least, _GIVEN).repartition(16).mapInArrow(least, _GIVEN)
+    drawn = drawn.select("*", F.lit(None).cast("binary").alias("taught"))
+    old = state.select(*(F.lit(None).cast(kind).alias(c) for c, kind in none), "taught")
+    return drawn.unionByName(old).repartition(1).mapInArrow(learn, "model binary, taught binary, added int")
+
+
+def _state(model: CoTrained, taught: Taught, added: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary()), pa.array([pickle.dumps(taught)], pa.binary()), pa.array([added], pa.int32())], ["model", "taught", "added"])
+
+
+def _model(state: DataFrame) -> CoTrained | None:
+    found = state.select("model").collect()  # the weights of FEATURES bins and of the sample's metadata
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def _columns(docs: DataFrame) -> DataFrame:
