@@ -161,6 +161,55 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k != v}
 
 
+def test_ngram_join_of_repeated_ids_and_odd_rows(spark):
+    """Null ids and texts, one id with several texts, repeated rows, other columns with clashing names."""
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(5, text["a"]), (5, text["a"]), (7, text["a"]), (7, text["b"]), (9, text["b"]), (11, text["c"]), (None, text["c"]), (None, None), (13, None), (15, ""), (17, text["c"] + " more"), (19, text["d"])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, node int, n int, key int")
+    got = {tuple(r) for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {(5, 26, 5), (7, 26, 5), (9, 26, 5), (11, 26, 11), (None, 26, None), (None, 0, None), (13, 0, 13), (15, 0, 15), (17, 27, 11), (19, 26, 19)}
+
+
+def test_boundary_takes_small_sets_by_cost():
+    t, sizes = (80, 100), range(4, 400)
+    # members that no other set has are the cheapest keys; the more of them are shared, the higher the boundary
+    bounds = [ngram_join.boundary({s: 100 for s in sizes}, {s: (1000, 100 * k) for s in sizes}, t) for k in (0, 1, 2, 5, 10)]
+    assert bounds == sorted(bounds) and bounds[0] == 0 < bounds[2] < bounds[-1]
+    # sets without larger ones near need no second kind of keys
+    assert ngram_join.boundary({4: 100, 50: 100}, {4: (100, 1), 50: (1000, 0)}, t) == 4
+    assert ngram_join.boundary({}, {}, t) == 0
+    assert ngram_join.boundary({ngram_join.LARGE: 9}, {ngram_join.LARGE: (9, 9)}, t) == 0
+
+
+def test_light_path_runs_by_its_own_boundary(spark):
+    """Short documents that share a common line: the boundary chosen by cost enumerates subsets for them."""
+    rng = np.random.default_rng(1)
+    line = "this line stands in all of the short documents"
+    texts = [f"{rng.choice(WORDS)} {line} {rng.choice(WORDS)}" for _ in range(300)] + [" ".join(rng.choice(WORDS, 120)) for _ in range(40)]
+    seen, real = [], ngram_join.boundary
+    ngram_join.boundary = lambda *a: seen.append(real(*a)) or seen[-1]
+    try:
+        got = by_doc(ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    finally:
+        ngram_join.boundary = real
+    sets = brute_sets(list(enumerate(texts)))
+    want = roots_of(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert seen[0] >= 7 and {i: r["component_id"] for i, r in got.items()} == want
+
+
+def test_lists_in_pieces(spark, monkeypatch):
+    """Lists longer than are held at once, and hubs whose members are dealt to many tasks, change nothing."""
+    monkeypatch.setattr(ngram_join, "RUN_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "SPREAD", ((3, 4), (10, 8)))
+    rng = np.random.default_rng(2)
+    base = [str(x) for x in rng.integers(0, 10_000, 80)]
+    texts = [" ".join(base[:k] + [f"x{i}"] + base[k:]) for i, k in enumerate(rng.integers(0, 80, 60).tolist())]
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)).collect()
+    sets = brute_sets(list(enumerate(texts)))
+    want = roots_of(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 20
+
+
 # 3
 
 
@@ -590,7 +639,8 @@ def test_digests_bound_what_sets_share():
     for _ in range(200):
         universe = rng.integers(0, 1 << 63, 400).astype(np.uint64)
         a, b = (np.unique(rng.choice(universe, int(rng.integers(4, 380)), replace=False)) for _ in range(2))
-        assert ngram_join.shared_bound(ngram_join.digest(a), ngram_join.digest(b)) >= len(np.intersect1d(a, b))
+        common, n, m = ngram_join.shared_bound(ngram_join.digest(a), ngram_join.digest(b))
+        assert common >= len(np.intersect1d(a, b)) and (n, m) == (len(a), len(b))
 
 
 def test_components_by_rounds(spark, monkeypatch):
