@@ -286,6 +286,15 @@ def test_suffix_dedup(docs, none, length):
     assert suffix_dedup.deduplicate(none).count() == 0
 
 
+def test_equal_strings_are_compared_by_bytes():
+    flat = np.frombuffer(b"abcabcabdabc", np.uint8)
+    begin, sizes, doc = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3]), np.array([4, 2, 1, 3])
+    for hashes in ([7, 7, 9, 7], [7, 7, 7, 7]):  # the second time a collision
+        order, number, first = suffix_dedup._firsts(doc, np.array(hashes, np.uint64), flat, begin, sizes)
+        same = number[np.argsort(order)]
+        assert same[0] == same[1] == same[3] != same[2] and sorted(order[first].tolist()) == [1, 2]
+
+
 def test_suffix_dedup_carries_columns(spark):
     line = "The quick brown fox jumps over the lazy dog, again and again and again."
     df = spark.createDataFrame([(2, f"a {line} b", "en"), (1, line, None), (3, line, "de"), (None, line, "x")], "doc_id long, text string, lang string")

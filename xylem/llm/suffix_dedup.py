@@ -12,7 +12,7 @@ document with a smaller doc_id. Four steps, none of which gathers the corpus:
 2. Stretches. Windows in a row with one anchor are a stretch. Each task keeps
    those that pass the filter. Of equal stretches it sends the first
    document's alone; in the others, which the task has just seen repeat, the
-   windows go at once. So what is sent for a passage that a third of all
+   windows go at once. (Stretches are grouped by hash and compared by bytes.) So what is sent for a passage that a third of all
    documents share is one stretch a task.
 3. Ranges. For the stretches of an anchor, equal ones are again one, the
    least document's; different ones that agree beyond the anchor, far enough
@@ -205,18 +205,43 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatc
     spans = np.column_stack([start[at], (reach - base)[np.append(at[1:], len(doc)) - 1]])
     own = np.flatnonzero(np.append(True, doc[at][1:] != doc[at][:-1]))
     bounds = np.append(own, len(at)) * 16
-    runs = [spans.tobytes()[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    data = spans.tobytes()
+    runs = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(doc[at][own]), pa.array(runs, pa.binary())], ["doc_id", "runs"])
 
 
-def _firsts(doc: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in the order of their strings; the number of each one's string; whether it is of the string's least document."""
+def _firsts(doc: np.ndarray, strings: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their strings; the number of each one's string; whether it is of the string's least document.
+
+    strings are hashes; their bytes are compared, and decide where they differ.
+    """
     order = np.argsort(strings, kind="stable")
     new = np.append(True, strings[order][1:] != strings[order][:-1])
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    if not _same_bytes(flat, begin, sizes, lead):
+        known: dict[bytes, int] = {}
+        exact = np.array([known.setdefault(flat[b : b + n].tobytes(), k) for k, (b, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True))])
+        order = np.argsort(exact, kind="stable")
+        new = np.append(True, exact[order][1:] != exact[order][:-1])
     number, d = np.cumsum(new) - 1, doc[order]
     return order, number, d == np.minimum.reduceat(d, np.flatnonzero(new))[number]
 
 
+def _same_bytes(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, lead: np.ndarray) -> bool:
+    """Whether each string has the bytes of its leading row's."""
+    rest = np.flatnonzero(lead != np.arange(len(lead)))
+    if (sizes[rest] != sizes[lead[rest]]).any():
+        return False
+    part = np.cumsum(sizes[rest]) // STEP_BYTES
+    cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(rest)] if len(rest) else []
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        some = rest[i:j]
+        if not np.array_equal(flat[ragged(begin[some], sizes[some])], flat[ragged(begin[lead[some]], sizes[some])]):
+            return False
+    return True
+
+
 class _Spans:
     """Spans that go, sent as one row for each document when there are many."""
 
@@ -335,13 +360,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def send():
             doc, start, windows, fp, place, string, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, _, first = _firsts(doc, string)
+            sizes = windows + length - 1
+            begin = np.cumsum(sizes) - sizes
+            order, _, first = _firsts(doc, string, flat, begin, sizes)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + windows[gone] + length - 1)
             keep = order[first]
             keep = keep[np.argsort(fp[keep], kind="stable")]  # equal strings stay together
-            sizes = windows + length - 1
-            begin = np.cumsum(sizes) - sizes
             cuts = np.searchsorted(fp[keep], np.arange((1 << range_bits) + 1, dtype=U64) << below)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 k = keep[cuts[r] : cuts[r + 1]]
@@ -386,7 +411,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
             string, right, left = string_hashes(flat, begin, sizes, place, length)
-            order, string, first = _firsts(doc, string)
+            order, string, first = _firsts(doc, string, flat, begin, sizes)
             gone = order[~first]
             spans.add(doc[gone], start[gone], start[gone] + sizes[gone])
             # strings that may share a window with another one of their anchor
@@ -437,7 +462,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if (out := spans.take()) is not None:
             yield out
 
-    return cut(found.repartition("range").sortWithinPartitions("range").mapInArrow(expand, "doc_id long, runs binary"))
+    # a number of its own: what a range costs isn't told by its bytes, by which small partitions would be merged
+    return cut(found.repartition(1 << range_bits - 2, "range").sortWithinPartitions("range").mapInArrow(expand, "doc_id long, runs binary"))
 
 
 def _kept(text: bytes, spans: np.ndarray) -> bytes:
