@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 #: Text of one step of a batch, in bytes: the arrays of eight bytes a byte stay small beside an executor's memory.
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
+#: glibc's allocator keeps what is freed unless it is told.
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +57,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Give what this Python worker has freed back to the system: workers outlive their stage, and an executor's stand beside its JVM."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(work):
+    """work, a function of batches, with memory given back before and after it."""
+
+    def run(batches):
+        give_back()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def doc_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator on texts reads, as (doc_id long, text string)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -85,15 +113,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers, modulo 2**64, of an odd number and of its inverse."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _POWERS:
+    """At least the first n powers, modulo 2**64, of an odd number and of its inverse."""
+    size = max(_POWERS, default=0)
+    if size < n:
+        size = -(-n >> 18) + 1 << 18
         _POWERS.clear()
         up, down = np.full(size, _BASE, U64), np.full(size, _INVERSE, U64)
         up[0] = down[0] = 1

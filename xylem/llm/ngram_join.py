@@ -49,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from xylem.llm.common import SLICE_BYTES, U64, cut, discard, doc_frame, mix64, ragged, slices
+from xylem.llm.common import U64, cut, discard, doc_frame, mix64, ragged, slices, tidy
 from xylem.llm.components import connected_components
 from xylem.llm.shingles import shingle_sets, signatures
 
@@ -64,6 +64,8 @@ SCAN_COST = 8.0
 SLICE, LARGE = 16, 4096
 #: A hub with more pairs than this has its members dealt to so many tasks.
 SPREAD = ((1 << 8, 1 << 6), (1 << 16, 1 << 12))
+#: Text worked on at a time: arrays of eight bytes a byte stay small.
+STEP_BYTES = 1 << 20
 #: Rows of a list that are held at once where its hubs are found.
 RUN_ROWS = 1 << 20
 
@@ -88,7 +90,7 @@ def _summed_blocks(rows: DataFrame, dtype: str) -> DataFrame:
             data = data if dtype == "u1" else np.minimum(8 * np.log2(data + 1.0), 255).astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
 
-    return rows.repartition("block").mapInArrow(add, "block int, data binary")
+    return rows.repartition("block").mapInArrow(tidy(add), "block int, data binary")
 
 
 def _collected(blocks: DataFrame, size: int) -> np.ndarray:
@@ -253,7 +255,7 @@ def _lists(keyed: DataFrame, t: tuple[int, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (key, node, size, hub)], ["key", "node", "size", "hub"])
 
     rows = keyed.repartition("key").sortWithinPartitions("key", "size", "node")
-    return rows.mapInArrow(_in_runs(emit, RUN_ROWS), "key long, node long, size long, hub long")
+    return rows.mapInArrow(tidy(_in_runs(emit, RUN_ROWS)), "key long, node long, size long, hub long")
 
 
 def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
@@ -287,7 +289,7 @@ def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
                 if e - c > 1:
                     break
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_in_runs(emit), "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_in_runs(emit)), "a long, b long").distinct()
 
 
 def _filter_of(ids: DataFrame, many: int | None = None) -> np.ndarray:
@@ -372,12 +374,12 @@ def _met(found: DataFrame, pairs: DataFrame, compare) -> DataFrame:
     kind = dict(found.dtypes)["data"]
     found = found.mapInArrow(wanted, f"id long, data {kind}")
     if kind == "string":
-        found = found.mapInArrow(_compressed, "id long, data binary")
+        found = found.mapInArrow(tidy(_compressed), "id long, data binary")
     dealt = pairs.select("a", "b").mapInArrow(deal, "a long, b long, chunk int") if hot else pairs.select("a", "b", F.lit(0).alias("chunk"))
     hubs = dealt.select(F.lit(None).cast("long").alias("a"), "b", "chunk").distinct()
     rows = dealt.withColumn("id", F.col("a")).unionByName(hubs.withColumn("id", F.col("b"))).join(found, "id").select("b", "chunk", "a", "data")
     met = rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", F.col("a").asc_nulls_first())
-    out = cut(met.mapInArrow(compare, "a long, b long"))
+    out = cut(met.mapInArrow(tidy(compare), "a long, b long"))
     for x in (ids, *(bits for bits, _ in hot)):
         x.destroy()
     discard(degrees)
@@ -424,10 +426,10 @@ def verified(docs: DataFrame, pairs: DataFrame, t: tuple[int, int]) -> DataFrame
             done = 0
             while done < len(marks):
                 some, size = [], 0
-                for x in batch.column(3).slice(done):  # texts of about SLICE_BYTES at a time
+                for x in batch.column(3).slice(done):  # texts of about STEP_BYTES at a time
                     some.append(decompressor.decompress(x.as_buffer()))
                     size += len(some[-1])
-                    if size > SLICE_BYTES:
+                    if size > STEP_BYTES:
                         break
                 hashes, bounds = shingle_sets(pa.array(some, pa.binary()).cast(pa.string()) if size < 1 << 30 else pa.array(some, pa.large_binary()).cast(pa.large_string()))
                 out = []
@@ -459,7 +461,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     def measure(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 hashes, bounds = shingle_sets(run.column(1))
                 counts += np.bincount(_counter(hashes), minlength=COUNTERS).astype(np.uint32)
                 n = len(bounds) - 1
@@ -469,7 +471,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
                 data = zstandard.compress(block.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["doc_id", "n", "node", "block", "data"])
 
-    measured = cut(docs.mapInArrow(measure, "doc_id long, n long, node long, block int, data binary"))
+    measured = cut(docs.mapInArrow(tidy(measure), "doc_id long, n long, node long, block int, data binary"))
     each = measured.where("block IS NULL").select("doc_id", "n", "node")
     digests = measured.where("block IS NULL AND doc_id IS NOT NULL AND n > 0").select(F.col("doc_id").alias("id"), "data")
 
@@ -484,7 +486,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     def first(batches):
         seen: set[int] = set()  # equal sets of a task's documents are there once
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 hashes, bounds = shingle_sets(run.column(1))
                 nodes = signatures(hashes, bounds).view(np.int64)
                 rank = sent.value[_counter(hashes)]
@@ -501,7 +503,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
                         which.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[which]), pa.array(np.diff(bounds)[which]), pa.array(out, pa.binary())], ["node", "n", "members"])
 
-    firsts = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(first, "node long, n long, members binary"))
+    firsts = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(tidy(first), "node long, n long, members binary"))
     sent.destroy()
     histogram, lists = _measured_lists(firsts, t)
     light = boundary(histogram, lists, t)

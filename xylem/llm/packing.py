@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.llm.bpe import REMEMBERED, encoder
-from xylem.llm.common import cut, doc_frame, slices
+from xylem.llm.common import cut, doc_frame, slices, tidy
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), descending
 
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
 
-    pieces = cut(doc_frame(docs, id_col, text_col).mapInArrow(cut_up, PIECES))
+    pieces = cut(doc_frame(docs, id_col, text_col).mapInArrow(tidy(cut_up), PIECES))
     counts = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     places = segments(complete_bins(by_length, capacity, nodes))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xylem.llm.common import cut, discard, prefix_hash, slices, span_hash, text_bytes
+from xylem.llm.common import cut, discard, prefix_hash, slices, span_hash, text_bytes, tidy
 from xylem.llm.shingles import _LOWER, _WHITE
 
 LABELLED = 12_000
@@ -282,10 +282,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: i
         if made is not None:
             yield _state(fitted(*made), made[1], 0)
 
-    sample = rows.mapInArrow(bags, "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int")
+    sample = rows.mapInArrow(tidy(bags), "doc_id long, bag binary, ratios binary, lang string, source string, n_chars long, y int")
     # one row of each labelled document: at most `labelled` rows meet in the task that fits
     one = sample.groupBy("doc_id").agg(F.min(F.struct("bag", "ratios", "lang", "source", "n_chars", "y")).alias("o")).select("doc_id", "o.*")
-    state = cut(one.repartition(1).mapInArrow(start, "model binary, taught binary, added int"))
+    state = cut(one.repartition(1).mapInArrow(tidy(start), "model binary, taught binary, added int"))
     model = _model(state)
     if model is None or not rounds:
         discard(state)
@@ -302,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: i
                 dense = [x.tobytes() for x in ratios.astype("<f4")]
                 yield pa.RecordBatch.from_arrays([run.column(0), pa.array(own, pa.binary()), pa.array(dense, pa.binary()), *(run.column(k) for k in range(2, 5))], ["doc_id", "bins", "ratios", "lang", "source", "n_chars"])
 
-    free = _columns(docs).mapInArrow(compact, f"doc_id long, {COMPACT.removesuffix(', print long')}")
+    free = _columns(docs).mapInArrow(tidy(compact), f"doc_id long, {COMPACT.removesuffix(', print long')}")
     pool = cut(free.join(known, "doc_id", "left_anti").select("bins", "ratios", "lang", "source", "n_chars", F.xxhash64("bins", "ratios", "lang", "source", "n_chars").alias("print")))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -369,7 +369,7 @@ def _round(pool: DataFrame, state: DataFrame, model, given: int) -> DataFrame:
     drawn = pool.mapInArrow(pick, _GIVEN).mapInArrow(least, _GIVEN).repartition(16).mapInArrow(least, _GIVEN)
     drawn = drawn.select("*", F.lit(None).cast("binary").alias("taught"))
     old = state.select(*(F.lit(None).cast(kind).alias(c) for c, kind in none), "taught")
-    return drawn.unionByName(old).repartition(1).mapInArrow(learn, "model binary, taught binary, added int")
+    return drawn.unionByName(old).repartition(1).mapInArrow(tidy(learn), "model binary, taught binary, added int")
 
 
 def _state(model: CoTrained, taught: Taught, added: int) -> pa.RecordBatch:
@@ -404,4 +404,4 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, **bounds) ->
                     found = model.value.scores(run.column(own.index("text")), pick("lang"), pick("source"), pick("n_chars"))
                 yield pa.RecordBatch.from_arrays([*(run.column(k) for k in range(len(own))), *(pa.array(x) for x in found), pa.array(found[2] >= cut)], [*own, *added])
 
-    return packed.mapInArrow(score, packed.schema)
+    return packed.mapInArrow(tidy(score), packed.schema)

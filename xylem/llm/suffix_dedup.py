@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xylem.llm.common import U64, cut, discard, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes
+from xylem.llm.common import U64, cut, discard, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes, tidy
 from xylem.llm.ngram_join import _filter_of, _in_filter
 
 LENGTH = 50
@@ -349,9 +349,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if parts:
             yield close()
 
-    ranges = docs.mapInArrow(prints, "range int, blob binary").repartition("range").sortWithinPartitions("range")
+    ranges = docs.mapInArrow(tidy(prints), "range int, blob binary").repartition("range").sortWithinPartitions("range")
     filter_ = np.zeros((1 << range_bits, 1 << (SLOT_BITS - range_bits - 3)), np.uint8)
-    for r in ranges.mapInArrow(shared, "range int, bits binary").toLocalIterator():  # slices of a filter of fixed size
+    for r in ranges.mapInArrow(tidy(shared), "range int, bits binary").toLocalIterator():  # slices of a filter of fixed size
         filter_[r["range"]] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(filter_.reshape(-1))
 
@@ -400,7 +400,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield from send()
         yield from gone(0)
 
-    found = docs.mapInArrow(collect, "range int, blob binary, doc_id long, runs binary")
+    found = docs.mapInArrow(tidy(collect), "range int, blob binary, doc_id long, runs binary")
 
     def expand(batches):
         at, parts, arrays, size, spans = None, [], [], 0, _Spans()
@@ -463,7 +463,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield out
 
     # a number of its own: what a range costs isn't told by its bytes, by which small partitions would be merged
-    return cut(found.repartition(1 << range_bits - 2, "range").sortWithinPartitions("range").mapInArrow(expand, "doc_id long, runs binary"))
+    out = cut(found.repartition(1 << range_bits - 2, "range").sortWithinPartitions("range").mapInArrow(tidy(expand), "doc_id long, runs binary"))
+    sent.destroy()
+    return out
 
 
 def _kept(text: bytes, spans: np.ndarray) -> bytes:
@@ -548,6 +550,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_text: bool = False,
     texts = docs.mapInArrow(some_texts, "doc_id long, text string, carried string, runs binary")
     gone = spans.select("doc_id", none.alias("text"), none.alias("carried"), "runs")
     met = texts.unionByName(gone).repartition("doc_id").sortWithinPartitions("doc_id", F.col("runs").asc_nulls_first())
-    out = docs.mapInArrow(whole, schema).unionByName(met.mapInArrow(apply, schema))
+    out = docs.mapInArrow(tidy(whole), schema).unionByName(met.mapInArrow(tidy(apply), schema))
     fields = F.from_json("carried", T.StructType([T.StructField(c, k) for c, k in kinds.items()])) if carry else None
     return out.select(*(c for c in names if c != "carried"), *(fields[c].alias(c) for c in carry))

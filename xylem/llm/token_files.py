@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.llm.bpe import encoder
-from xylem.llm.common import cut, doc_frame, shared_dir, slices
+from xylem.llm.common import cut, doc_frame, shared_dir, slices, tidy
 
 # Fixed values of the zstandard seekable format.
 SEEK_FRAME, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -192,7 +192,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = doc_frame(docs, id_col, text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(rows.mapInArrow(write, MANIFEST))
+    return cut(rows.mapInArrow(tidy(write), MANIFEST))
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
