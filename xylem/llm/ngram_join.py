@@ -367,14 +367,13 @@ def _met(found: DataFrame, pairs: DataFrame, compare) -> DataFrame:
                 chunk[flagged] = (mix64(a[flagged].view(U64)) % U64(tasks)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunk)], ["a", "b", "chunk"])
 
+    texts = dict(found.dtypes)["data"] == "string"
+
     def wanted(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_in_filter(ids.value, batch.column(0).to_numpy())))
+        some = (batch.filter(pa.array(_in_filter(ids.value, batch.column(0).to_numpy()))) for batch in batches)
+        yield from _compressed(some) if texts else some
 
-    kind = dict(found.dtypes)["data"]
-    found = found.mapInArrow(wanted, f"id long, data {kind}")
-    if kind == "string":
-        found = found.mapInArrow(tidy(_compressed), "id long, data binary")
+    found = found.mapInArrow(tidy(wanted), "id long, data binary")
     dealt = pairs.select("a", "b").mapInArrow(deal, "a long, b long, chunk int") if hot else pairs.select("a", "b", F.lit(0).alias("chunk"))
     hubs = dealt.select(F.lit(None).cast("long").alias("a"), "b", "chunk").distinct()
     rows = dealt.withColumn("id", F.col("a")).unionByName(hubs.withColumn("id", F.col("b"))).join(found, "id").select("b", "chunk", "a", "data")

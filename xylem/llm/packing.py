@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from xylem.llm.bpe import REMEMBERED, encoder
 from xylem.llm.common import cut, doc_frame, slices, tidy
 
+#: Text encoded at a time.
+STEP_BYTES = 1 << 20
+
 Pattern = tuple[tuple[int, int], ...]  # (length, times), descending
 
 
@@ -278,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         coder, part = encoder(tokenizer, end_id, remembered), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, 1, STEP_BYTES):
                 ids, bounds = coder.encode(run.column(1))
                 sizes = np.diff(bounds)
                 n = -(-sizes // capacity)

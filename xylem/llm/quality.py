@@ -366,7 +366,8 @@ def _round(pool: DataFrame, state: DataFrame, model, given: int) -> DataFrame:
         yield _state(new, taught, len(at))
 
     none = [c.split() for c in _GIVEN.split(", ")]
-    drawn = pool.mapInArrow(pick, _GIVEN).mapInArrow(least, _GIVEN).repartition(16).mapInArrow(least, _GIVEN)
+    # one function, so one Python worker, for both
+    drawn = pool.mapInArrow(lambda batches: least(pick(batches)), _GIVEN).repartition(16).mapInArrow(least, _GIVEN)
     drawn = drawn.select("*", F.lit(None).cast("binary").alias("taught"))
     old = state.select(*(F.lit(None).cast(kind).alias(c) for c, kind in none), "taught")
     return drawn.unionByName(old).repartition(1).mapInArrow(tidy(learn), "model binary, taught binary, added int")

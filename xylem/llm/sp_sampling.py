@@ -25,7 +25,8 @@ results don't depend on partitioning. A sample's inclusion score is
 The model's scores are merge ranks, no log-probabilities, so a piece of rank r
 weighs (r + 2.7) ** -ALPHA. Characters without a piece are their bytes.
 
-Nulls: a null or empty text has one segmentation, the empty one. A text with
+Nulls: a null or empty text has one segmentation, the empty one, which decodes
+to the empty text: its round_trip is true. A text with
 fewer than k segmentations has as many samples. Rows with one key get the same
 samples; a null key counts as 0. An empty table gives no rows. Other columns
 are ignored.
