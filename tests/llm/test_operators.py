@@ -500,6 +500,22 @@ def test_samples_follow_the_distribution(pieces):
         assert abs(k / n - want) < 5 * (want / n) ** 0.5 + 2 / n
 
 
+def test_second_samples_of_a_long_unit(pieces):
+    """A unit of 200 characters: each step of a second draw has a random number of its own, so all places vary."""
+    n, text = 300, "ab" * 100
+    first, second = sp_sampling.sample(pieces, np.arange(n), pa.array([text] * n), 2)
+    cuts = []
+    for one in (first, second):
+        own = [one["ids"][a:b] for a, b in zip(one["bounds"][:-1], one["bounds"][1:], strict=True)]
+        assert len(own) == n and all(pieces.decode(x).decode() == text for x in own)
+        ends = np.zeros(len(text) + 1)
+        for x in own:
+            ends[np.cumsum(pieces.surface_size[x]) - 1] += 1
+        cuts.append(ends / n)
+    # both rounds cut at each place about as often: the mass that is taken out is small
+    assert np.abs(cuts[0] - cuts[1]).max() < 0.2 and np.abs(cuts[0] - cuts[1]).mean() < 0.04
+
+
 def test_samples_decode(spark, docs, none, pieces):
     rows = sp_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).collect()
     texts = dict(ROWS)

@@ -15,7 +15,9 @@ found so far: never all pairs.
 
 Equal vectors (label and bits) are one vector with a multiplicity.
 
-Centroids are fitted on a bounded sample (SAMPLE vectors of least hash).
+Centroids are fitted on a bounded sample (SAMPLE vectors of least hash), so
+there are SAMPLE / FOR_EACH of them at most: beyond about 5 million vectors of a
+label, cells grow with the table.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite
 components, and those with a null label, link with nothing and are kept.
@@ -35,7 +37,8 @@ from xylem.llm.components import connected_components
 
 SAMPLE = 20_000
 CELL = 2048
-MOST_CELLS = 512
+#: Sampled vectors for each centroid at least, which bounds the number of cells by the sample's.
+FOR_EACH = 8
 BLOCK = 1024
 #: Room for rounding in the bounds that only select candidates.
 EPS = 1e-6
@@ -65,22 +68,6 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors."""
     spark = vectors.sparkSession
@@ -95,8 +82,8 @@ def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec
         x = np.array(some.tolist(), np.float64)
         # scaled first, so that the squares of extreme components neither vanish nor overflow
         x /= np.abs(x).max(1, keepdims=True)
-        centroids[d] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(MOST_CELLS, -(-largest[d] // cell))))
-    sent = spark.sparkContext.broadcast(centroids)  # MOST_CELLS centroids for each length of vectors
+        centroids[d] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), max(1, min(len(x) // FOR_EACH, -(-largest[d] // cell))))
+    sent = spark.sparkContext.broadcast(centroids)  # sample / FOR_EACH centroids for each length of vectors at most
     reach = np.sqrt(2 - 2 * t) + EPS
 
     def assign(batches):
@@ -132,7 +119,7 @@ def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec
 
     def compare(batches):
         kept, members, ids, counts = None, [], [], []
-        union, place = None, None
+        joined = None
         for batch in batches:
             marks = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             side, rep, n = (batch.column(k).to_numpy() for k in (5, 6, 7))
@@ -142,7 +129,7 @@ def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec
             for i, j in zip(cuts, cuts[1:], strict=False):
                 x = values[offsets[i] : offsets[j]].reshape(j - i, -1)
                 if marks[i] != kept:
-                    kept, members, ids, counts, union = marks[i], [], [], [], None
+                    kept, members, ids, counts, joined = marks[i], [], [], [], None
                 if side[i] == 0:
                     members.append(x)
                     ids.append(rep[i:j])
@@ -150,9 +137,9 @@ def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec
                     continue
                 if not members:
                     continue
-                if union is None:
+                if joined is None:
                     m_x, m_id, m_n = np.concatenate(members), np.concatenate(ids), np.concatenate(counts)
-                    union = _Union(len(m_id))
+                    joined = np.arange(len(m_id))  # equal for members that links found here have joined
                 near = x @ m_x.T >= t
                 near &= rep[i:j][:, None] != m_id[None, :]
                 links = near @ m_n
@@ -160,15 +147,13 @@ def embedding_components(vectors: DataFrame, t: float = 0.98, id_col: str = "vec
                 a, b, k = [], [], []
                 for h in hit.tolist():
                     found = np.flatnonzero(near[h])
-                    a.append(rep[i + h])
-                    b.append(m_id[found[0]])
-                    k.append(links[h])
-                    for f in found[1:].tolist():
-                        # a link that joins two members through this vector, if nothing here has joined them
-                        if union.join(int(found[0]), f):
-                            a.append(rep[i + h])
-                            b.append(m_id[f])
-                            k.append(0)
+                    # a link to one member of each group that nothing here has joined with the others
+                    groups, one = np.unique(joined[found], return_index=True)
+                    a += [rep[i + h]] * len(one)
+                    b += m_id[found[one]].tolist()
+                    k += [links[h]] + [0] * (len(one) - 1)
+                    if len(groups) > 1:
+                        joined[np.isin(joined, groups)] = groups[0]
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(v, np.int64)) for v in (a, b, k)], ["a", "b", "k"])
 

@@ -55,6 +55,8 @@ REMEMBERED = 400_000
 #: A table of hashes that rejects most strings that are no pieces.
 SIEVE = 1 << 20
 MASK = (1 << 64) - 1
+#: The precision of sums of probabilities: what other segmentations of a unit have below it counts as none.
+LEAST_MASS = 1e-14
 #: Text sampled at a time: the more, the fewer distinct units a byte.
 RUN_BYTES = 5 << 20
 
@@ -139,7 +141,7 @@ class Lattices:
                     break
                 arc += 1
             sums = np.cumsum(weights)
-            pick = min(int(np.searchsorted(sums, float(u[step % len(u)]) * sums[-1], "right")), int(np.flatnonzero(weights)[-1]))
+            pick = min(int(np.searchsorted(sums, float(u[step]) * sums[-1], "right")), int(np.flatnonzero(weights)[-1]))
             arc, own = arcs[pick], float(np.exp(self.logp[arcs[pick]]))
             left = [(p, x / own) for p, x in left if p[step] == arc]
             logp += float(self.logp[arc])
@@ -359,7 +361,8 @@ def sample(pieces: Pieces, keys: np.ndarray, texts: pa.Array, k: int = SAMPLES,
             redrawn: dict[int, tuple[int, ...]] = {}
             for d in alive.tolist():
                 w, *drawn = taken[d]
-                u = _uniform(np.full(64, occurrence[w]) + np.arange(64, dtype=U64) * U64(0x9E6C63D0876A9A35) + U64((r << 32) + 7))
+                most = int(lattice.ends[unit[w]] - lattice.starts[unit[w]])  # a draw of its own for each step
+                u = _uniform(np.full(most, occurrence[w]) + np.arange(most, dtype=U64) * U64(0x9E6C63D0876A9A35) + U64((r << 32) + 7))
                 logp[w], redrawn[w] = lattice.draw_other(int(unit[w]), [x for _, x in drawn], u)
             arcs = _merge_arcs(own, parts, fresh, redrawn, len(unit))
             for d in alive.tolist():  # that node is spent; what is left of it belongs to the new path
@@ -370,7 +373,7 @@ def sample(pieces: Pieces, keys: np.ndarray, texts: pa.Array, k: int = SAMPLES,
         sums = np.concatenate([[0.0], np.cumsum(p["logp"])])
         before = sums[:-1] - np.repeat(sums[bounds[:-1]], sizes)
         left = _log1mexp(np.minimum(p["logp"], 0))
-        left[p["logp"] > -1e-12] = -np.inf
+        left[p["logp"] > -LEAST_MASS] = -np.inf
         live = np.zeros(n, bool)
         live[p["alive"]] = True
         skip = ~live[doc]
@@ -378,7 +381,7 @@ def sample(pieces: Pieces, keys: np.ndarray, texts: pa.Array, k: int = SAMPLES,
             w, *drawn = p["taken"][d]
             skip[bounds[d] : w] = True
             rest = 1 - sum(np.exp(x) for x, _ in drawn) - np.exp(p["logp"][w])
-            left[w] = np.log(rest) if rest > 1e-12 else -np.inf
+            left[w] = np.log(rest) if rest > LEAST_MASS else -np.inf
         value = p["value"][doc] if len(unit) else np.empty(0)
         noise = -np.log(_uniform(occurrence + U64((r + 1) * 0x632BE59BD9B4E019 & MASK)))
         with np.errstate(invalid="ignore", divide="ignore"):
