@@ -54,9 +54,10 @@ class Tree:
             self.nodes[0] = self.root
 
     def get(self, key: int) -> dict:
-        if key not in self.nodes:
+        n = self.nodes.get(key)
+        if n is None or n.get("removed"):
             raise NodeError("Stale")
-        return self.nodes[key]
+        return n
 
     def container(self, key: int) -> dict:
         n = self.get(key)
@@ -129,7 +130,7 @@ class Tree:
         todo = [n]
         while todo:
             m = todo.pop()
-            self.nodes = {k: v for k, v in self.nodes.items() if v is not m}
+            m["removed"] = True
             todo += m["children"] + m["attrs"] + m["decls"]
 
     def detach(self, key: int) -> dict:

@@ -166,10 +166,7 @@ class Compiler:
         loop = Loop(rows)
         if number or uses_position(p):
             loop.pos, loop.last = self.name(), self.name()
-            order = axes.proximity(axis, *groups)
-            if axis == "namespace":
-                order = Window.partitionBy("doc_id", *groups).orderBy("local")
-            rows = rows.withColumn(loop.pos, F.row_number().over(order).cast("double"))
+            rows = rows.withColumn(loop.pos, F.row_number().over(axes.proximity(axis, *groups)).cast("double"))
             if _mentions(p, "last"):
                 rows = rows.withColumn(loop.last, F.count(F.lit(1)).over(Window.partitionBy("doc_id", *groups)).cast("double"))
             loop.df = rows
@@ -370,14 +367,29 @@ class Compiler:
                 hit = NodeSet(found.df.where(self.holds(op, F.col("value"), value)), found.by_doc)
                 df, got = self.reduce(hit, loop, any=F.first(F.lit(True)))
                 return df, F.coalesce(got["any"], F.lit(False))
-            # the other side varies by row: it meets the set's distinct values there
-            df, got = self.reduce(found, loop, values=F.collect_set("value"))
-            df, other = self.string(b, loop.of(df)) if kb == "str" and op in ("=", "!=") else self.number(b, loop.of(df))
-            if kb == "str" and op in ("=", "!="):
-                test = lambda v: v == other if op == "=" else v != other
-            else:
-                test = lambda v: _compare(op, x.xnum_of_string(v), other)
-            return df, F.coalesce(F.exists(got["values"], test), F.lit(False))
+            # the other side varies by row: it meets a distinct value of the set, its least or its greatest
+            texts = kb == "str" and op in ("=", "!=")
+            df, other = (self.string if texts else self.number)(b, loop)
+            own = F.col("value") if texts else x.xnum_of_string(F.col("value"))
+            if op == "=":
+                mark, key, theirs = self.name(), self.name(), self.name()
+                keys = ["doc_id"] if found.by_doc else ["doc_id", "org"]
+                values = found.df.select(*keys, own.alias(key)).where(~F.isnan(key) if not texts else F.lit(True)).distinct().withColumn(mark, F.lit(True))
+                values = values.withColumnRenamed("doc_id", f"{mark}d").withColumnRenamed("org", f"{mark}o")
+                df = df.withColumn(theirs, other)
+                on = (F.col("doc_id") == F.col(f"{mark}d")) & (F.col(theirs) == F.col(key))
+                if not found.by_doc:
+                    on &= F.col("pre") == F.col(f"{mark}o")
+                return df.join(values, on, "left").drop(f"{mark}d", f"{mark}o", key), F.coalesce(F.col(mark), F.lit(False))
+            if op == "!=":
+                df, got = self.reduce(found, loop.of(df), lo=F.min(own), hi=F.max(own))
+                apart = (got["lo"] != other) | (got["hi"] != other)
+                if not texts:
+                    apart = apart | F.isnan(other) | F.isnan(got["hi"])  # the greatest of numbers is NaN if there is one
+                return df, F.coalesce(apart, F.lit(False))
+            own = F.nanvl(own, F.lit(None).cast("double"))
+            df, got = self.reduce(found, loop.of(df), edge=F.min(own) if op in ("<", "<=") else F.max(own))
+            return df, F.coalesce(_compare(op, got["edge"], other), F.lit(False))
         if "bool" in (ka, kb):
             df, value = self.boolean(a, loop)
             if op in ("=", "!=") or ka == "ns":
