@@ -19,6 +19,9 @@ from xylem.sources import encoding as enc
 
 SEP = "\x1f"
 _START_TAG = re.compile(rb"<[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*>")
+_QUOTED = re.compile(rb"\"[^\"]*\"|'[^']*'|<!--.*?-->", re.S)
+_REFERENCE = re.compile(rb"&([^#&;\s][^&;\s]*);")
+_NO_MARKUP = re.compile(rb"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>", re.S)
 #: What expat's codes are called here.
 KINDS_BY_CODE = {
     2: "InvalidName", 3: "NoRootElement", 4: "InvalidName", 5: "Unterminated", 6: "MalformedEncoding", 7: "MismatchedEndTag", 8: "DuplicateAttribute", 9: "TrailingContent", 10: "MalformedDtd", 11: "UnknownEntity", 12: "EntityLimitExceeded", 14: "IllegalCharacter", 15: "ForbiddenEntityReference", 16: "ForbiddenEntityReference",
@@ -60,7 +63,9 @@ class _Builder:
         p.EntityDeclHandler = self.entity
         self.declared: list[tuple] = []
         self.id_attributes: set[tuple[str, str]] = set()
-        self.in_doctype = 0
+        self.in_doctype = self.parameter_chars = 0
+        self.entities: dict[str, list[str]] = {}  # the references in each internal entity's text
+        self.nested: dict[str, int] = {}
         self.depth = self.chars = self.entity_depth = 0
         root = [0, 0, 0, None, None, "root", None, None, None, None, None, 0, len(self.data)]
         self.out.rows.append(root)
@@ -130,6 +135,7 @@ class _Builder:
         for raw_name, value in zip(attributes[::2], attributes[1::2], strict=True):
             if len(value) > limits.max_attribute_size:
                 self.fail("AttributeTooLarge", "max_attribute_size")
+            self.expanded(len(value))
             a_local, a_ns, a_prefix = self.name(raw_name)
             value = self.show(value)
             if a_ns == XML_NS and a_local == "lang":
@@ -160,7 +166,11 @@ class _Builder:
         if not self.run:
             self.run_start = self.parser.CurrentByteIndex
         self.run.append(data)
-        self.chars += len(data)
+        self.expanded(len(data))
+
+    def expanded(self, size: int) -> None:
+        """Count characters of text and attributes: what is beyond the document's bytes comes from entities."""
+        self.chars += size
         if self.chars > len(self.data) + self.limits.max_entity_expansion:
             self.fail("EntityLimitExceeded", "max_entity_expansion")
 
@@ -186,12 +196,36 @@ class _Builder:
 
     def end_doctype(self):
         self.in_doctype = 0
-        if self.parser.CurrentByteIndex - self.doctype_at > self.limits.max_dtd_bytes:
+        at = self.parser.CurrentByteIndex
+        if at - self.doctype_at > self.limits.max_dtd_bytes:
             self.fail("DtdTooLarge", "max_dtd_bytes")
+        depth = deepest = 0
+        for c in _QUOTED.sub(b"", self.data[self.doctype_at : at]):
+            depth += (c == 0x28) - (c == 0x29)
+            deepest = max(deepest, depth)
+        if deepest > self.limits.max_dtd_depth:
+            self.fail("DtdDepthLimitExceeded", "max_dtd_depth")
+        deep = {name for name in self.entities if self.levels(name, frozenset()) > self.limits.max_entity_depth}
+        if deep and any(m.decode("utf-8", "replace") in deep for m in _REFERENCE.findall(_NO_MARKUP.sub(b"", self.data[at:]))):
+            self.fail("EntityLimitExceeded", "max_entity_depth")
+
+    def levels(self, name: str, above: frozenset[str]) -> int:
+        """How deep the references in an internal entity's text go, itself included; it stops one above the limit, and at a loop, which the parser refuses."""
+        if name not in self.nested:
+            inner = [x for x in self.entities.get(name, ()) if x not in above and x != name]
+            deep = len(above) > self.limits.max_entity_depth
+            self.nested[name] = 1 + (0 if deep else max((self.levels(x, above | {name}) for x in inner), default=0))
+        return self.nested[name]
 
     def entity(self, name, is_parameter, value, *_):
         if self.parser.CurrentByteIndex - getattr(self, "doctype_at", 0) > self.limits.max_dtd_bytes:
             self.fail("DtdTooLarge", "max_dtd_bytes")
+        if value is not None and is_parameter:
+            self.parameter_chars += len(value)
+            if self.parameter_chars > self.limits.max_pe_expansion:
+                self.fail("EntityLimitExceeded", "max_pe_expansion")
+        elif value is not None:
+            self.entities.setdefault(name, [m.decode() for m in _REFERENCE.findall(value.encode("utf-8", "replace"))])
 
     def attlist(self, element, attribute, kind, default, required):
         if kind == "ID":
@@ -236,7 +270,7 @@ def shred_text(text: str, limits: Limits | None = None, external: dict[str, str]
         raise XmlError("DocumentTooLarge", "max_document_bytes")
     text = text.removeprefix("﻿")
     version = enc.version_of(text)
-    plain = _declared_utf8(text)
+    plain = declared_utf8(text)
     try:
         if version == "1.1":
             raise XmlError("InvalidName")
@@ -256,7 +290,7 @@ def shred_text(text: str, limits: Limits | None = None, external: dict[str, str]
 _ENCODING = re.compile(r"\sencoding\s*=\s*('[^']*'|\"[^\"]*\")")
 
 
-def _declared_utf8(text: str) -> str:
+def declared_utf8(text: str) -> str:
     """The text with its declaration's encoding, which it no longer has, as spaces: offsets hold."""
     found = enc.DECLARATION.match(text[:1024])
     if not found or not found["encoding"]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from xylem.model import EVENTS, Limits, XmlError
-from xylem.sources.shred import KINDS_BY_CODE, SEP
+from xylem.sources.shred import KINDS_BY_CODE, SEP, declared_utf8
 
 NAMES = ["seq", "type", "ns", "local", "prefix", "attrs", "nsdecls", "text", "target", "error_kind", "error_offset"]
 
@@ -30,7 +30,7 @@ class PushReader:
         self.out: list[dict] = []
         self.declared: list[dict] = []
         self.run: list[str] = []
-        self.depth = self.fed = 0
+        self.depth = self.fed = self.chars = self.nodes = 0
         self.failed = self.done = False
         self.parser = p = expat.ParserCreate(None, SEP)
         p.namespace_prefixes = p.ordered_attributes = p.specified_attributes = p.buffer_text = True
@@ -41,17 +41,22 @@ class PushReader:
 
     def _event(self, kind: str, **own) -> None:
         self._flush()
+        if kind != "EndElement":
+            self._count()
         self.out.append(dict.fromkeys(NAMES) | {"type": kind, "attrs": [], "nsdecls": []} | own)
 
     def _flush(self) -> None:
         if self.run:
             text, self.run = "".join(self.run), []
+            if len(text) > self.limits.max_text_length:
+                raise XmlError("TextTooLong")
             if self.depth:
                 self.out.append(dict.fromkeys(NAMES) | {"type": "Text", "attrs": [], "nsdecls": [], "text": text})
 
-    @staticmethod
-    def _name(raw: str) -> tuple[str | None, str, str | None]:
+    def _name(self, raw: str) -> tuple[str | None, str, str | None]:
         parts = raw.split(SEP)
+        if len(parts[1 if len(parts) > 1 else 0]) > self.limits.max_name_length:
+            raise XmlError("NameTooLong")
         return (None, raw, None) if len(parts) == 1 else (parts[0], parts[1], parts[2] if len(parts) > 2 else None)
 
     def _start(self, raw, attributes):
@@ -59,6 +64,9 @@ class PushReader:
         attrs = []
         for k, v in zip(attributes[::2], attributes[1::2], strict=True):
             a = self._name(k)
+            if len(v) > self.limits.max_attribute_size:
+                raise XmlError("AttributeTooLarge")
+            self._expanded(len(v))
             attrs.append({"ns": a[0], "local": a[1], "value": v})
         if len(attrs) > self.limits.max_attributes_per_element:
             raise XmlError("TooManyAttributes")
@@ -75,6 +83,18 @@ class PushReader:
 
     def _text(self, data):
         self.run.append(data)
+        self._expanded(len(data))
+
+    def _expanded(self, size: int) -> None:
+        """Count characters of text and attributes: what is beyond the bytes fed comes from entities."""
+        self.chars += size
+        if self.chars > self.fed + self.limits.max_entity_expansion:
+            raise XmlError("EntityLimitExceeded")
+
+    def _count(self) -> None:
+        self.nodes += 1
+        if self.nodes > self.limits.max_nodes:
+            raise XmlError("TooManyNodes")
 
     def feed(self, data: bytes, last: bool = False) -> list[dict]:
         """Complete events of what has been fed; last ends the document. After a failure there are none."""
@@ -82,8 +102,8 @@ class PushReader:
             return []
         self.fed += len(data)
         try:
-            if self.fed > self.limits.max_input_bytes:
-                raise XmlError("InputTooLarge")
+            if self.fed > min(self.limits.max_input_bytes, self.limits.max_document_bytes):
+                raise XmlError("InputTooLarge" if self.fed > self.limits.max_input_bytes else "DocumentTooLarge")
             self.parser.Parse(data, last)
             if last:
                 self._flush()
@@ -99,7 +119,8 @@ class PushReader:
 
 def events_of(document: str | bytes, limits: Limits | None = None, chunk: int = 1 << 16) -> Iterator[dict]:
     """Events of one document, read in chunks: memory doesn't grow with it."""
-    data = document.encode() if isinstance(document, str) else bytes(document)
+    # a string is no longer in the encoding that it declares
+    data = declared_utf8(document).encode("utf-8", "surrogatepass") if isinstance(document, str) else bytes(document)
     reader = PushReader(limits)
     for i in range(0, max(len(data), 1), chunk):
         yield from reader.feed(data[i : i + chunk], i + chunk >= len(data))
