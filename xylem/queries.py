@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xylem.operators import mutate
+from xylem.functions.register import register
+from xylem.operators import mutate, navigate
 from xylem.operators.serialise import Options, needs_xml_11, serialise
 from xylem.sources import tables
 from xylem.sources.shred import docs_of, ids_of, nodes_of, shred
@@ -164,6 +165,21 @@ CASES: dict[str, Case] = {
     "function_ceiling": Case("customers", "ceiling(//c:bal)", _c(f"ceil({_BAL}::DOUBLE)")),
     "function_round": Case("customers", "round(//c:bal)", _c(f"floor({_BAL}::DOUBLE + 0.5)")),
     "function_number_format": Case("events", "string(count(//e) * 1.5)", "SELECT user_id AS doc_id, CASE WHEN count(*) % 2 = 0 THEN cast(count(*) * 3 // 2 AS VARCHAR) ELSE cast(count(*) * 3 // 2 AS VARCHAR) || '.5' END AS value FROM events GROUP BY 1"),
+    # bytes in three encodings, with IDs, comments and instructions
+    "function_id": Case("marked", "id(//ref)/name", _c("c_name")),
+    "function_id_string": Case("marked", "count(id('k1 k2 none'))", _c("CASE WHEN c_custkey IN (1, 2) THEN 1.0 ELSE 0.0 END::DOUBLE")),
+    "test_comment": Case("marked", "//comment()", _c("c_mktsegment")),
+    "test_instruction": Case("marked", "/c/processing-instruction('seg')", _c("c_mktsegment")),
+    "test_instruction_other": Case("marked", "count(//processing-instruction('gap'))", _c("0.0::DOUBLE")),
+    "scalar_not_equal": Case("marked", "string(//comment()) != 'BUILDING'", _c("c_mktsegment <> 'BUILDING'")),
+    "scalar_less": Case("marked", "number(//bal) < 100", _c(f"{_BAL} < 100")),
+    "scalar_less_equal": Case("marked", "number(//bal) <= 0", _c(f"{_BAL} <= 0")),
+    "scalar_greater": Case("marked", "number(//bal) > 5000", _c(f"{_BAL} > 5000")),
+    "scalar_greater_equal": Case("marked", "number(//bal) >= 100", _c(f"{_BAL} >= 100")),
+    "set_equals_varying": Case("orders", "/order/line[../line/qty = disc * 100]/@n", f"{LINES} SELECT a.l_orderkey AS doc_id, cast(a.l_linenumber AS VARCHAR) AS value FROM l a WHERE EXISTS (SELECT 1 FROM l b WHERE b.l_orderkey = a.l_orderkey AND cast(b.qty AS DOUBLE) = cast(a.disc AS DOUBLE) * 100)"),
+    "set_differs_from_varying": Case("orders", "/order/line[../line/@flag != string(@flag)]/@n", f"{LINES} SELECT a.l_orderkey AS doc_id, cast(a.l_linenumber AS VARCHAR) AS value FROM l a WHERE EXISTS (SELECT 1 FROM l b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag <> a.l_returnflag)"),
+    "set_less_than_varying": Case("orders", "/order/line[../line/qty < qty * 0.5]/@n", f"{LINES} SELECT a.l_orderkey AS doc_id, cast(a.l_linenumber AS VARCHAR) AS value FROM l a WHERE EXISTS (SELECT 1 FROM l b WHERE b.l_orderkey = a.l_orderkey AND cast(b.qty AS DOUBLE) < cast(a.qty AS DOUBLE) * 0.5)"),
+    "axis_namespace_position": Case("customers", "string(/*/namespace::*[2]) = string(/*/namespace::*[position() = 2])", _c("true")),
     # logs
     "events_predicate": Case("events", "//e[@type = 'click']/v", "SELECT user_id AS doc_id, cast(cast(value AS DECIMAL(18,2)) AS VARCHAR) AS value FROM events WHERE event_type = 'click'"),
     "events_attribute_number": Case("events", "count(//e[@k > 50])", "SELECT user_id AS doc_id, cast(count(*) FILTER (WHERE cast(json_extract_string(props, '$.k') AS INT) > 50) AS DOUBLE) AS value FROM events GROUP BY 1"),
@@ -245,7 +261,108 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.groupBy("doc_id").agg(count("local = 'line'"), count("local = 'note'"), count("local = 'checked'"), F.max("error_kind").alias("error"))
 
 
+def parsed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BINARY documents and the encodings they were read in."""
+    return docs_of(shredded(spark, sf_dir, "marked")).select("doc_id", "ok", "encoding")
+
+
+def from_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression for every nation element: a scalar and a node-set, strict and lenient."""
+    xml = collection(spark, sf_dir, "regions")
+    at = xml.nodes.where("local = 'nation'")
+    named = XPath("string(@name)").evaluate(xml, context=at).select("doc_id", "context", F.col("value").alias("name"))
+    rich = XPath("supplier[bal > $least]").evaluate(xml, context=at, variables={"least": 5000}, strict=True).groupBy("doc_id", "context").agg(F.count("*").alias("n"))
+    return named.join(rich, ["doc_id", "context"], "left").select("doc_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _region_nodes(spark: SparkSession, sf_dir: str, local: str) -> tuple[DataFrame, DataFrame]:
+    nodes = collection(spark, sf_dir, "regions").nodes
+    return nodes, nodes.where(F.col("local") == local).where("kind = 'element'").select("doc_id", "pre")
+
+
+def navigate_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children, descendants, attributes and all nodes of each region's nations."""
+    nodes, at = _region_nodes(spark, sf_dir, "nation")
+    parts = {"children": navigate.children(nodes, at), "descendants": navigate.descendants(nodes, at), "attributes": navigate.attributes(nodes, at)}
+    out = navigate.sizes(nodes).select("doc_id", F.col("n").alias("nodes"))
+    for name, part in parts.items():
+        out = out.join(part.groupBy("doc_id").agg(F.count("*").alias(name)), "doc_id", "left").fillna(0, [name])
+    return out
+
+
+def navigate_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each supplier's parent, by attribute(), once for each nation."""
+    nodes, at = _region_nodes(spark, sf_dir, "supplier")
+    up = navigate.parents(nodes, at)
+    return navigate.attribute_ns(nodes, navigate.attribute(nodes, up, "name"), None, "name").select("doc_id", F.col("value").alias("name"))
+
+
+def navigate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each balance, by text_content() and by text()."""
+    nodes, at = _region_nodes(spark, sf_dir, "bal")
+    own = navigate.nodes_at(nodes, at).select("doc_id", "pre", navigate.text().alias("text"))
+    return navigate.text_content(nodes, at).join(own, ["doc_id", "pre"]).select("doc_id", "value", "text")
+
+
+def navigate_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root nodes with their elements: names as written, namespaces declared on them."""
+    nodes = collection(spark, sf_dir, "customers").nodes
+    top = navigate.root_elements(nodes)
+    declared = navigate.declared_namespaces(nodes, top).where("local = 'c'").select("doc_id", F.col("value").alias("uri"))
+    return navigate.roots(nodes).select("doc_id").join(top.select("doc_id", navigate.qualified_name().alias("name")), "doc_id").join(declared, "doc_id")
+
+
+def navigate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = collection(spark, sf_dir, "marked")
+    return navigate.element_by_id(xml.nodes, xml.ids, "k1").select("doc_id", "local")
+
+
+def navigate_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source text of each nation's first child element."""
+    nodes = nodes_of(shredded(spark, sf_dir, "plots"))
+    return navigate.source(tables.plots(spark, sf_dir), nodes, nodes.where("local = 'a'")).select("doc_id", "source")
+
+
+def all_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of edit in one script for each document, then the text of what is left."""
+    nodes = nodes_of(shredded(spark, sf_dir, "plots"))
+    name = navigate.attribute(nodes, navigate.root_elements(nodes), "name").select("doc_id", F.col("value").alias("name"))
+    # places: n is 1, a 4, its text 5, b 6
+    steps = [(1, "append_text", 6, None, None, "x"), (2, "append_comment", 1, None, None, "c"), (3, "append_pi", 1, None, "p", "d"), (4, "set_text", 5, None, None, "NAME"), (5, "reparent", 4, 6, None, None), (6, "append_element", 1, None, "z", None), (7, "insert_at", -6, 1, "0", None), (8, "remove_attribute", 1, None, "name", None), (9, "declare_namespace", 1, None, "q", "urn:q"), (10, "compact", None, None, None, None), (11, "append_element", 1, None, "gone", None), (12, "detach", -11, None, None, None)]
+    kinds = {"seq": "int", "op": "string", "target": "int", "arg": "int", "local": "string", "value": "string"}
+    each = F.explode(F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, (c, k) in zip(x, kinds.items(), strict=True))) for x in steps)))
+    script = name.select("doc_id", "name", each.alias("s")).select("doc_id", "s.seq", "s.op", "s.target", "s.arg", F.lit(None).cast("string").alias("ns"), "s.local", F.when(F.col("s.value") == "NAME", F.col("name")).otherwise(F.col("s.value")).alias("value"))
+    return serialise(mutate.edit(nodes, script)).select("doc_id", "xml")
+
+
+def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL functions over whole pages and balances."""
+    register(spark)
+    pages = tables.pages(spark, sf_dir)
+    return pages.select("doc_id", F.expr("xml_is_well_formed(xml)").alias("ok"), F.expr("xml_error(xml).kind").alias("kind"), F.expr("xpath_number_format(cast(doc_id as double) / 2)").alias("half"))
+
+
+def function_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """xml_nodes() of each nation's document, laterally."""
+    register(spark)
+    view = f"plots_{abs(hash(sf_dir))}"
+    tables.plots(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT doc_id, count_if(kind = 'element') AS elements, max(level) AS depth FROM {view}, LATERAL xml_nodes(xml) GROUP BY doc_id").selectExpr("doc_id", "elements", "cast(depth as bigint) AS depth")
+
+
 EXTRA: dict[str, tuple[Callable, str | None]] = {
+    "parse_bytes": (parsed_bytes, "SELECT c_custkey AS doc_id, true AS ok, CASE c_custkey % 3 WHEN 0 THEN 'latin-1' WHEN 1 THEN 'utf-16-be' ELSE 'utf-8' END AS encoding FROM customer"),
+    "evaluate_from_contexts": (from_contexts, "SELECT cast(n_regionkey AS BIGINT) AS doc_id, n_name AS name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND cast(s_acctbal AS DECIMAL(18,2)) > 5000) AS n FROM nation"),
+    "navigate_down": (navigate_down, """WITH k AS (SELECT n_regionkey AS r, count(DISTINCT n_nationkey) AS n, count(s_suppkey) AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)
+ SELECT cast(r_regionkey AS BIGINT) AS doc_id, 4 + 2 * coalesce(n, 0) + 4 * coalesce(s, 0) AS nodes, coalesce(s, 0) AS children, 3 * coalesce(s, 0) AS descendants, coalesce(n, 0) AS attributes FROM region LEFT JOIN k ON r = r_regionkey"""),
+    "navigate_up": (navigate_up, "SELECT cast(n_regionkey AS BIGINT) AS doc_id, n_name AS name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)"),
+    "navigate_texts": (navigate_texts, "SELECT cast(n_regionkey AS BIGINT) AS doc_id, cast(cast(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS value, cast(cast(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "navigate_roots": (navigate_roots, "SELECT c_custkey AS doc_id, 'c:customer' AS name, 'urn:c' AS uri FROM customer"),
+    "navigate_ids": (navigate_ids, "SELECT c_custkey AS doc_id, 'c' AS local FROM customer WHERE c_custkey = 1"),
+    "navigate_source": (navigate_source, "SELECT cast(n_nationkey AS BIGINT) AS doc_id, '<a>t</a>' AS source FROM nation"),
+    "edit_every_kind": (all_edits, "SELECT cast(n_nationkey AS BIGINT) AS doc_id, '<n xmlns:q=\"urn:q\"><z/><b>x<a>' || n_name || '</a></b><!--c--><?p d?></n>' AS xml FROM nation"),
+    "functions_registered": (registered_functions, "SELECT page_id AS doc_id, false AS ok, 'MismatchedEndTag' AS kind, CASE WHEN page_id % 2 = 0 THEN cast(page_id // 2 AS VARCHAR) ELSE cast(page_id // 2 AS VARCHAR) || '.5' END AS half FROM pages"),
+    "functions_nodes": (function_nodes, "SELECT cast(n_nationkey AS BIGINT) AS doc_id, 3::BIGINT AS elements, 3::BIGINT AS depth FROM nation"),
     "last_line_quantity": (flagship, f"{LINES} SELECT count(*) AS n, round(sum(l_quantity), 2) AS qty FROM l WHERE rn = n"),
     "extract_typed": (extract_typed, f"SELECT c_custkey AS doc_id, c_custkey AS id, {_BAL}::DOUBLE AS balance, c_mktsegment AS segment, {_BAL} > 0 AS positive FROM customer"),
     "parse_errors": (well_formed_pages, "SELECT page_id AS doc_id, false AS ok, 'MismatchedEndTag' AS kind FROM pages"),

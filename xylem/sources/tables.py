@@ -77,6 +77,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", xml.alias("xml"))
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BINARY documents in three encodings: c(@key, an ID) / a comment, an instruction, name, bal, ref (two names of IDs, one that is there)."""
+    k = F.col("c_custkey")
+    key = F.concat(F.lit("k"), k.cast("string"))
+    body = F.concat(F.lit("<!DOCTYPE c [<!ATTLIST c key ID #IMPLIED>]>"), element("c", F.concat(F.lit("<!--"), F.col("c_mktsegment"), F.lit("--><?seg "), F.col("c_mktsegment"), F.lit("?>")), element("name", text(F.col("c_name"))), element("bal", money("c_acctbal")), element("ref", F.concat(F.lit("none "), key)), key=key))
+    latin = F.encode(F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>'), body), "ISO-8859-1")
+    xml = F.when(k % 3 == 0, latin).when(k % 3 == 1, F.encode(body, "UTF-16")).otherwise(F.encode(body, "UTF-8"))
+    return table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), xml.alias("xml"))
+
+
+def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n(@name) / a (text), b (empty): one for each nation."""
+    xml = element("n", F.lit("<a>t</a><b/>"), name=F.col("n_name"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), xml.alias("xml"))
+
+
 def navs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nav element of each page."""
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", r"(?s)<nav\b.*?</nav>", 0).alias("xml"))
