@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import mmap
 import sys
 import tempfile
 import uuid
@@ -66,15 +67,36 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Growth of a Python worker's memory that is worth the time to give it back: a task with few rows takes less than that.
+_GROWTH = 16 << 20
+_least = 0
+
+
+def _settled() -> None:
+    """Give memory back if this worker has grown by _GROWTH since it last did."""
+    global _least
+    if _resident() >= _least + _GROWTH:
+        give_back()
+        _least = _resident()
+
+
+def _resident() -> int:
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * mmap.PAGESIZE
+    except OSError:
+        return 1 << 62  # not known: always give back
+
+
 def tidy(work):
-    """work, a function of batches, with memory given back before and after it."""
+    """work, a function of batches, with memory given back before and after it where there is some."""
 
     def run(batches):
-        give_back()
+        _settled()
         try:
             yield from work(batches)
         finally:
-            give_back()
+            _settled()
 
     return run
 

@@ -95,7 +95,7 @@ def _summed_blocks(rows: DataFrame, dtype: str) -> DataFrame:
 
 def _collected(blocks: DataFrame, size: int) -> np.ndarray:
     out = np.zeros((BLOCKS, size // BLOCKS), np.uint8)
-    for row in blocks.toLocalIterator():  # BLOCKS rows of a fixed size
+    for row in blocks.collect():  # BLOCKS rows of a fixed size, 16 MB in all at most; one by one would be a job for each partition
         out[row["block"]] = np.frombuffer(row["data"], np.uint8)
     return out.reshape(-1)
 
