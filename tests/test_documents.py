@@ -38,8 +38,8 @@ def test_nodes_in_document_order():
 @pytest.mark.parametrize(
     "text,kind",
     [
-        ("", "NoRootElement"), ("<a>", "NoRootElement"), ("<a></b>", "MismatchedEndTag"), ("<a/><b/>", "TrailingContent"), ("<a x='1' x='2'/>", "DuplicateAttribute"), ("<p:a/>", "UnboundPrefix"),
-        ("<a>&nope;</a>", "UnknownEntity"), ("<a>]]></a>", "InvalidName"), ("<a x=1/>", "InvalidName"), ("<a>&#0;</a>", "IllegalCharacter"), ("<a xmlns:p=''/>", "ReservedNamespace"), ("<a><![CDATA[x</a>", "Unterminated"),
+        ("", "NoRootElement"), ("<a>", "UnexpectedEof"), ("<a></b>", "MismatchedEndTag"), ("<a/><b/>", "TrailingContent"), ("<a x='1' x='2'/>", "DuplicateAttribute"), ("<p:a/>", "UnboundPrefix"),
+        ("<a>&nope;</a>", "UnknownEntity"), ("<a>]]></a>", "IllegalCdataEnd"), ("<a x=1/>", "UnquotedAttributeValue"), ("<a>&#0;</a>", "IllegalCharacter"), ("<a xmlns:p=''/>", "ReservedNamespace"), ("<a><![CDATA[x</a>", "Unterminated"),
         ("<a xmlns:p='u' xmlns:q='u' p:x='1' q:x='2'/>", "DuplicateAttribute"), ("<!DOCTYPE a [<!ENTITY e '&e;'>]><a>&e;</a>", "EntityLimitExceeded"),
     ],
 )

@@ -4,7 +4,7 @@ import pytest
 
 from xylem.model import Limits, XmlError
 from xylem.sources.shred import shred_text
-from xylem.streaming.events import events_of
+from xylem.streaming.events import PushReader, events_of
 
 
 def outcome(text, limits=None):
@@ -34,6 +34,32 @@ def test_limits_hold_for_both(limits, text, kind):
     assert outcome(text) == (None, None)
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("<a>x]]>y</a>", "IllegalCdataEnd"), ("<a><!-- b -- c --></a>", "MalformedComment"), ("<a><!-- b ---></a>", "MalformedComment"), ("<a b=c/>", "UnquotedAttributeValue"), ("<a b=/>", "UnquotedAttributeValue"),
+        ("<a b='1'c='2'/>", "UnquotedAttributeValue"), ("<a><b>", "UnexpectedEof"), ("<a b", "UnexpectedEof"), ("<a b='c", "Unterminated"), ("<!-- b", "Unterminated"), ("", "NoRootElement"), ("<1/>", "InvalidName"), ("<a b='<'/>", "InvalidName"), ("<a ]]/>", "InvalidName"),
+    ],
+)
+def test_kinds_of_errors_are_the_same_for_both(text, kind):
+    assert outcome(text) == (kind, kind)
+    pieces = PushReader()
+    got = [e for k, c in enumerate(text.encode()) for e in pieces.feed(bytes([c]), k + 1 == len(text))] or pieces.feed(b"", True)
+    assert got[-1]["error_kind"] == kind
+
+
+def test_unknown_versions_are_refused():
+    with pytest.raises(XmlError, match="UnsupportedVersion"):
+        shred_text("<?xml version='2.0'?><a/>")
+    assert shred_text("<?xml version='1.7'?><a/>").rows
+
+
+def test_declarations_are_bounded_in_events():
+    wide = "".join(f"<!ENTITY % p{k} '{'y' * 1000}'>" for k in range(20))
+    assert outcome(f"<!DOCTYPE a [{wide}]><a/>", Limits(max_pe_expansion=10_000)) == ("EntityLimitExceeded", "EntityLimitExceeded")
+    assert outcome(f"<!DOCTYPE a [{wide}]><a/>", Limits(max_dtd_bytes=1000)) == ("DtdTooLarge", "DtdTooLarge")
+
+
 def nested(levels, use="&e0;"):
     entities = "".join(f"<!ENTITY e{k} '&e{k + 1};'>" for k in range(levels - 1))
     return f"<!DOCTYPE a [{entities}<!ENTITY e{levels - 1} 'x'>]><a>{use}</a>"

@@ -29,6 +29,25 @@ KINDS_BY_CODE = {
 }
 
 
+def kind_of(code: int, data: bytes, at: int, inside: bool) -> str:
+    """The kind of error of expat's code at byte `at` of data; inside: whether an element is open. Codes that cover several kinds are told apart by the bytes."""
+    if code == 3 and inside:
+        return "UnexpectedEof"
+    if code == 5 and re.match(rb"<[^!?/]", data[at : at + 2]):
+        # a tag without an end: the input ends in an attribute's value or between its parts
+        return "Unterminated" if re.search(rb"[\"']", re.sub(rb"\"[^\"]*\"|'[^']*'", b"", data[at:])) else "UnexpectedEof"
+    if code != 4 or at >= len(data):
+        return KINDS_BY_CODE.get(code, "InvalidName")
+    if data[max(0, at - 2) : at + 1] == b"]]>":
+        return "IllegalCdataEnd"
+    if data[max(0, at - 2) : at] == b"--" and data.rfind(b"<!--", 0, at) > data.rfind(b"-->", 0, at - 2):
+        return "MalformedComment"
+    tag = data.rfind(b"<", 0, at)
+    if tag >= 0 and re.fullmatch(rb"<[^\s!?/=\"'>]+(?:\s+[^\s=\"'>]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*(?:\s+[^\s=\"'>]+\s*(?:=\s*)?)?", data[tag:at]) and data[at] not in b"<" and data[tag:at].rstrip()[-1:] in b"=\"'":
+        return "UnquotedAttributeValue"
+    return "InvalidName"
+
+
 @dataclass
 class Shredded:
     """A document's nodes in order, as lists of the columns of NODES without doc_id."""
@@ -253,7 +272,7 @@ class _Builder:
             self.parser.Parse(self.data, True)
         except expat.ExpatError as e:
             p = self.parser
-            raise XmlError(KINDS_BY_CODE.get(e.code, "InvalidName"), expat.ErrorString(e.code), max(0, p.ErrorByteIndex), e.lineno, e.offset + 1) from None
+            raise XmlError(kind_of(e.code, self.data, p.ErrorByteIndex, len(self.stack) > 1), expat.ErrorString(e.code), max(0, p.ErrorByteIndex), e.lineno, e.offset + 1) from None
         root = self.out.rows[0]
         root[SIZE], root[VALUE] = len(self.out.rows) - 1, getattr(self, "root_value", "")
         return self.out
@@ -270,6 +289,8 @@ def shred_text(text: str, limits: Limits | None = None, external: dict[str, str]
         raise XmlError("DocumentTooLarge", "max_document_bytes")
     text = text.removeprefix("﻿")
     version = enc.version_of(text)
+    if not version.startswith("1."):
+        raise XmlError("UnsupportedVersion", version)
     plain = declared_utf8(text)
     try:
         if version == "1.1":

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from xylem.model import EVENTS, Limits, XmlError
-from xylem.sources.shred import KINDS_BY_CODE, SEP, declared_utf8
+from xylem.sources.shred import SEP, declared_utf8, kind_of
 
 NAMES = ["seq", "type", "ns", "local", "prefix", "attrs", "nsdecls", "text", "target", "error_kind", "error_offset"]
 
@@ -32,15 +32,33 @@ class PushReader:
         self.run: list[str] = []
         self.depth = self.fed = self.chars = self.nodes = 0
         self.failed = self.done = False
+        self.held, self.held_at, self.at = b"", 0, 0  # what has been fed since the last event, for errors
+        self.parameter_chars = self.doctype_at = 0
         self.parser = p = expat.ParserCreate(None, SEP)
         p.namespace_prefixes = p.ordered_attributes = p.specified_attributes = p.buffer_text = True
         p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = self._start, self._end, self._text
         p.CommentHandler = lambda data: self._event("Comment", text=data)
         p.ProcessingInstructionHandler = lambda target, data: self._event("ProcessingInstruction", target=target, text=data)
         p.StartNamespaceDeclHandler = lambda prefix, uri: self.declared.append({"prefix": prefix or "", "uri": uri or ""})
+        p.StartDoctypeDeclHandler, p.EndDoctypeDeclHandler, p.EntityDeclHandler = self._doctype, self._dtd_size, self._entity
+
+    def _doctype(self, *_) -> None:
+        self.doctype_at = self.parser.CurrentByteIndex
+
+    def _dtd_size(self) -> None:
+        if self.parser.CurrentByteIndex - self.doctype_at > self.limits.max_dtd_bytes:
+            raise XmlError("DtdTooLarge")
+
+    def _entity(self, name, is_parameter, value, *_) -> None:
+        self._dtd_size()
+        if value is not None and is_parameter:
+            self.parameter_chars += len(value)
+            if self.parameter_chars > self.limits.max_pe_expansion:
+                raise XmlError("EntityLimitExceeded")
 
     def _event(self, kind: str, **own) -> None:
         self._flush()
+        self.at = self.parser.CurrentByteIndex
         if kind != "EndElement":
             self._count()
         self.out.append(dict.fromkeys(NAMES) | {"type": kind, "attrs": [], "nsdecls": []} | own)
@@ -83,6 +101,7 @@ class PushReader:
 
     def _text(self, data):
         self.run.append(data)
+        self.at = self.parser.CurrentByteIndex
         self._expanded(len(data))
 
     def _expanded(self, size: int) -> None:
@@ -101,16 +120,19 @@ class PushReader:
         if self.failed or self.done:
             return []
         self.fed += len(data)
+        self.held += data
         try:
             if self.fed > min(self.limits.max_input_bytes, self.limits.max_document_bytes):
                 raise XmlError("InputTooLarge" if self.fed > self.limits.max_input_bytes else "DocumentTooLarge")
             self.parser.Parse(data, last)
+            keep = max(0, self.at - self.held_at - 2)
+            self.held, self.held_at = self.held[keep:], self.held_at + keep
             if last:
                 self._flush()
                 self.done = True
         except (expat.ExpatError, XmlError) as e:
             self.run = []
-            kind = e.kind if isinstance(e, XmlError) else KINDS_BY_CODE.get(e.code, "InvalidName")
+            kind = e.kind if isinstance(e, XmlError) else kind_of(e.code, self.held, self.parser.ErrorByteIndex - self.held_at, self.depth > 0)
             self.out.append(dict.fromkeys(NAMES) | {"type": "Error", "attrs": [], "nsdecls": [], "error_kind": kind, "error_offset": max(0, self.parser.ErrorByteIndex)})
             self.failed = True
         out, self.out = self.out, []
