@@ -230,7 +230,7 @@ def serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serialised_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serialise(collection(spark, sf_dir, "regions").nodes, Options(indent=2, empty="<a />", newline="\r\n")).select("doc_id", F.length("xml").alias("n"))
+    return serialise(collection(spark, sf_dir, "regions").nodes, Options(indent=2, empty="<a />", newline="\r\n")).select("doc_id", "xml")
 
 
 def xml_11_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +372,9 @@ EXTRA: dict[str, tuple[Callable, str | None]] = {
     "serialise_canonical": (serialised, """WITH s AS (SELECT s_nationkey, string_agg('<supplier id="' || s_suppkey || '"><bal>' || cast(cast(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '</bal></supplier>', '' ORDER BY s_suppkey) AS x FROM supplier GROUP BY 1),
  n AS (SELECT n_regionkey, string_agg('<nation name="' || n_name || '"' || CASE WHEN x IS NULL THEN '/>' ELSE '>' || x || '</nation>' END, '' ORDER BY n_nationkey) AS y FROM nation LEFT JOIN s ON n_nationkey = s_nationkey GROUP BY 1)
  SELECT cast(r_regionkey AS BIGINT) AS doc_id, '<region name="' || r_name || '"' || CASE WHEN y IS NULL THEN '/>' ELSE '>' || y || '</region>' END AS xml FROM region LEFT JOIN n ON n_regionkey = r_regionkey"""),
-    "serialise_pretty": (serialised_pretty, None),
+    "serialise_pretty": (serialised_pretty, """WITH s AS (SELECT s_nationkey, string_agg('    <supplier id="' || s_suppkey || '">' || e || '      <bal>' || cast(cast(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) || '</bal>' || e || '    </supplier>' || e, '' ORDER BY s_suppkey) AS x FROM supplier, (SELECT chr(13) || chr(10) AS e) GROUP BY 1),
+ n AS (SELECT n_regionkey, string_agg('  <nation name="' || n_name || '"' || CASE WHEN x IS NULL THEN ' />' || e ELSE '>' || e || x || '  </nation>' || e END, '' ORDER BY n_nationkey) AS y FROM nation CROSS JOIN (SELECT chr(13) || chr(10) AS e) LEFT JOIN s ON n_nationkey = s_nationkey GROUP BY 1)
+ SELECT cast(r_regionkey AS BIGINT) AS doc_id, '<region name="' || r_name || '"' || CASE WHEN y IS NULL THEN ' />' ELSE '>' || chr(13) || chr(10) || y || '</region>' END AS xml FROM region LEFT JOIN n ON n_regionkey = r_regionkey"""),
     "serialise_version": (xml_11_needed, "SELECT doc_id, regexp_matches(text, '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS needs FROM documents"),
     "events_of_documents": (pulled_events, f"{LINES} SELECT 'StartElement' AS type, sum(2 + 4 * n)::BIGINT AS n FROM o UNION ALL SELECT 'EndElement', sum(2 + 4 * n)::BIGINT FROM o UNION ALL SELECT 'Text', sum(1 + 3 * n)::BIGINT FROM o"),
     "navigate_nations": (navigation, "SELECT cast(n_regionkey AS BIGINT) AS doc_id, n_name AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS sib, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation"),
