@@ -21,8 +21,8 @@ in the order leave room for as many as it must share; candidates that digests of
 their sets don't rule out are verified on whole texts. Equal sets are one class from the start. For components not
 every link is needed: in a key's list, each class is first compared with one
 class of the list, its hub, and of its hubs with the one met most often. Then
-candidates that are still in different components are compared, all of them:
-no link between different components is left out. Groups of near copies
+candidates that are still in different components are compared, all of them
+that bitmaps of the sets, sent with the list, don't rule out: no link between different components is left out. Groups of near copies
 thus cost about one comparison a member, not all pairs.
 
 What is of fixed size whatever the corpus: the sketch (4 MB where it is sent)
@@ -64,6 +64,8 @@ SCAN_COST = 8.0
 SLICE, LARGE = 16, 4096
 #: A hub with more pairs than this has its members dealt to so many tasks.
 SPREAD = ((1 << 8, 1 << 6), (1 << 16, 1 << 12))
+#: Bits of the bitmap that a set has in a list, whatever its size; and pairs whose bitmaps are compared at a time.
+LIST_BITS, LIST_STEP = 512, 1 << 16
 #: Text worked on at a time: arrays of eight bytes a byte stay small.
 STEP_BYTES = 1 << 20
 #: Rows of a list that are held at once where its hubs are found.
@@ -186,6 +188,14 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """A column of longs, or of bitmaps of LIST_BITS as a row of words each."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:][: len(column) * LIST_BITS // 8].view(U64).reshape(len(column), -1)
+
+
 def _in_runs(emit, most: int | None = None):
     """A function of batches sorted by their first column that hands emit() whole runs of it, as arrays.
 
@@ -196,7 +206,7 @@ def _in_runs(emit, most: int | None = None):
     def scan(batches):
         rest, head = None, 0
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [_values(c) for c in batch.columns]
             if not len(cols[0]):
                 continue
             if rest is not None:
@@ -259,17 +269,26 @@ def _lists(keyed: DataFrame, t: tuple[int, int]) -> DataFrame:
 
 
 def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of one key that can link and are in different components; rows has key, rep, size, root."""
+    """(a, b): pairs of one key that can link and are in different components; rows has key, rep, size, root, bits.
 
-    def pairs(n, place, root, i, j):
-        fit = (root[i] != root[j]) & _fit(n[i], place[i], n[j], place[j], t)
-        return i[fit], j[fit]
+    Bitmaps rule out what sizes and places can't before a pair is a row.
+    """
 
-    def emit(key, rep, size, root, head=0):
+    def pairs(n, place, root, bits, i, j):
+        fit = (root[i] != root[j]) & _fit(n[i], place[i], n[j], place[j], t)
+        i, j = i[fit], j[fit]
+        for c in range(0, len(i), LIST_STEP):
+            u, v = i[c : c + LIST_STEP], j[c : c + LIST_STEP]
+            lacks = [np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((bits[u], bits[v]), (bits[v], bits[u]))]
+            common = np.minimum(n[u] - lacks[0], n[v] - lacks[1])
+            fit = t[1] * common >= t[0] * (n[u] + n[v] - common)
+            yield u[fit], v[fit]
+
+    def emit(key, rep, size, root, bits, head=0):
         first, run = _runs(key)
         mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
         keep = mixed[run]
-        key, rep, size, root = key[keep], rep[keep], size[keep], root[keep]
+        key, rep, size, root, bits = key[keep], rep[keep], size[keep], root[keep], bits[keep]
         if not len(key):
             return
         n, place = size & 0xFFFFFFFF, size >> 32
@@ -282,10 +301,10 @@ def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
         for c, e in zip(cuts[:-1], cuts[1:], strict=True):
             for w in range(0, int(after[c:e].max(initial=0)), 1 << 20):  # a row with a longer list than that: parts of it
                 here = np.clip(after[c:e] - w, 0, 1 << 20) if e - c == 1 else after[c:e]
-                i, j = pairs(n, place, root, np.repeat(np.arange(c, e), here), ragged(np.arange(c, e) + 1 + w, here))
-                if len(i):
-                    one, other = rep[i], rep[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
+                for i, j in pairs(n, place, root, bits, np.repeat(np.arange(c, e), here), ragged(np.arange(c, e) + 1 + w, here)):
+                    if len(i):
+                        one, other = rep[i], rep[j]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
                 if e - c > 1:
                     break
 
@@ -323,23 +342,30 @@ def _in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (hit(a) & hit(b)).astype(bool)
 
 
+def _bitmap(members: np.ndarray, bins: int) -> np.ndarray:
+    """Which of `bins` bins, a power of two from 8 on, the members fall in, a bit each."""
+    bits = np.zeros(bins, bool)
+    bits[(members & U64(bins - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
 def digest(members: np.ndarray) -> bytes:
-    """The number of members, and how many of them fall in each of about a quarter as many bins, in a byte each."""
-    bins = 1 << max(3, (len(members) // 4).bit_length())
-    counts = np.bincount((members & U64(bins - 1)).astype(np.int64), minlength=bins)
-    return np.int32(len(members)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """The number of members, and which of two to four times as many bins they fall in."""
+    return np.int32(len(members)).tobytes() + _bitmap(members, 1 << max(3, (2 * len(members)).bit_length())).tobytes()
 
 
 def shared_bound(one: bytes, other: bytes) -> tuple[int, int, int]:
-    """No fewer members than two sets share, from their digests, and both sizes; the finer digest is folded first."""
+    """No fewer members than two sets share, from their digests, and both sizes; the finer digest is folded first.
+
+    Each bin that only one of two sets falls in holds a member that the other one lacks.
+    """
     (n,), (m,) = np.frombuffer(one, "<i4", 1), np.frombuffer(other, "<i4", 1)
-    x, y = np.frombuffer(one, np.uint8, offset=4).astype(np.int64), np.frombuffer(other, np.uint8, offset=4).astype(np.int64)
-    full = (x == 255).any() or (y == 255).any()  # a full bin may hold more
+    x, y = np.frombuffer(one, np.uint8, offset=4), np.frombuffer(other, np.uint8, offset=4)
     while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
     while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return min(n, m) if full else int(np.minimum(x, y).sum()), int(n), int(m)
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(int(n) - int(np.bitwise_count(x & ~y).sum()), int(m) - int(np.bitwise_count(y & ~x).sum())), int(n), int(m)
 
 
 def _met(found: DataFrame, pairs: DataFrame, compare) -> DataFrame:
@@ -457,6 +483,8 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     spark = docs.sparkSession
     docs = doc_frame(docs, id_col, text_col)
 
+    names = ["doc_id", "n", "node", "block", "data", "bits"]
+
     def measure(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
@@ -464,13 +492,15 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
                 hashes, bounds = shingle_sets(run.column(1))
                 counts += np.bincount(_counter(hashes), minlength=COUNTERS).astype(np.uint32)
                 n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([run.column(0), pa.array(np.diff(bounds)), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(n, pa.int32()), pa.array([digest(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "n", "node", "block", "data"])
+                sets = [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                bits = pa.array([_bitmap(x, LIST_BITS).tobytes() for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array(np.diff(bounds)), pa.array(signatures(hashes, bounds).view(np.int64)), pa.nulls(n, pa.int32()), pa.array([digest(x) for x in sets], pa.binary()), bits], names)
         for k, block in enumerate(counts.reshape(BLOCKS, -1)):
             if block.any():
                 data = zstandard.compress(block.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([data], pa.binary())], ["doc_id", "n", "node", "block", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.binary())], names)
 
-    measured = cut(docs.mapInArrow(tidy(measure), "doc_id long, n long, node long, block int, data binary"))
+    measured = cut(docs.mapInArrow(tidy(measure), "doc_id long, n long, node long, block int, data binary, bits binary"))
     each = measured.where("block IS NULL").select("doc_id", "n", "node")
     digests = measured.where("block IS NULL AND doc_id IS NOT NULL AND n > 0").select(F.col("doc_id").alias("id"), "data")
 
@@ -519,7 +549,8 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     listed = cut(_lists(firsts.mapInArrow(keys, "key long, node long, size long"), t))
     discard(firsts)
     # by (node, n): sets of different sizes never count as one
-    classes = cut(each.where("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep")))
+    sets = measured.where("block IS NULL AND doc_id IS NOT NULL AND n > 0")
+    classes = cut(sets.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.min("bits").alias("bits")))
     n = F.col("size").bitwiseAND(F.lit(0xFFFFFFFF)).alias("n")
     met = listed.where("node <> hub").groupBy("node", n, "hub").agg(F.count("*").alias("k"))
     best = met.groupBy("node", "n").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub"))
@@ -528,7 +559,7 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     links = linked(pairs)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    spread = listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root")
+    spread = listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root", "bits")
     pairs = cut(_apart(spread, t))
     discard(listed)
     both = links.unionByName(linked(pairs))
