@@ -210,6 +210,25 @@ def test_lists_in_pieces(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) < 20
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_pairs_of_different_components_in_lists(spark, monkeypatch, split):
+    """A list that is split among tasks gives the pairs that it gives whole; those of one component are none."""
+    if split:
+        monkeypatch.setattr(ngram_join, "PAIRS_A_TASK", 6)
+        monkeypatch.setattr(ngram_join, "ROWS_A_TASK", 40)
+    rng = np.random.default_rng(4)
+    universe = rng.integers(0, 1 << 63, 130).astype(np.uint64)
+    sets = [np.sort(rng.choice(universe, 100, replace=False)) for _ in range(90)]
+    keys = [5] * 60 + [-7] * 20 + [9] * 10
+    roots = [0] * 40 + list(range(40, 60)) + [60] * 20 + [80] * 9 + [89]
+    rows = [(k, i, 100, r, bytearray(ngram_join._bitmap(x, ngram_join.LIST_BITS))) for i, (k, r, x) in enumerate(zip(keys, roots, sets, strict=True))]
+    df = ngram_join.cut(spark.createDataFrame(rows, "key long, rep long, size long, root long, bits binary").repartition(5))
+    got = {tuple(x) for x in ngram_join._apart(df, (60, 100)).collect()}
+    met = [(a, b) for a in range(90) for b in range(a) if keys[a] == keys[b] and roots[a] != roots[b]]
+    links = {(a, b) for a, b in met if 5 * len(np.intersect1d(sets[a], sets[b])) >= 3 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= got <= set(met) and 0 < len(links) and bool(ngram_join._heavy(df)) == split
+
+
 # 3
 
 

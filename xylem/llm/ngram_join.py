@@ -22,8 +22,10 @@ their sets don't rule out are verified on whole texts. Equal sets are one class
 every link is needed: in a key's list, each class is first compared with one
 class of the list, its hub, and of its hubs with the one met most often. Then
 candidates that are still in different components are compared, all of them
-that bitmaps of the sets, sent with the list, don't rule out: no link between different components is left out. Groups of near copies
-thus cost about one comparison a member, not all pairs.
+that bitmaps of the sets, sent with the list, don't rule out: no link between
+different components is left out. Groups of near copies thus cost about one
+comparison a member, not all pairs. A list with many such candidates is split
+among tasks: its sets are dealt to parts, and each two parts meet in a task.
 
 What is of fixed size whatever the corpus: the sketch (4 MB where it is sent)
 and filters of ids (16 MB at most). A corpus that fills them gets a poorer order
@@ -66,6 +68,8 @@ SLICE, LARGE = 16, 4096
 SPREAD = ((1 << 8, 1 << 6), (1 << 16, 1 << 12))
 #: Bits of the bitmap that a set has in a list, whatever its size; and pairs whose bitmaps are compared at a time.
 LIST_BITS, LIST_STEP = 512, 1 << 16
+#: A list with more pairs of different components, or more rows, than these is split among tasks, in so many parts at most.
+PAIRS_A_TASK, ROWS_A_TASK, PARTS = 1 << 19, 1 << 18, (4, 16, 64, 256, 1024)
 #: Text worked on at a time: arrays of eight bytes a byte stay small.
 STEP_BYTES = 1 << 20
 #: Rows of a list that are held at once where its hubs are found.
@@ -268,14 +272,52 @@ def _lists(keyed: DataFrame, t: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(tidy(_in_runs(emit, RUN_ROWS)), "key long, node long, size long, hub long")
 
 
+def _heavy(rows: DataFrame) -> list:
+    """(filter of keys, parts) for the lists that are split, the least parts first; rows has key, root. A key that a filter takes too much is split alike for all its rows."""
+    each = rows.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+    pairs = (F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))) / 2
+    parts = F.greatest(F.sqrt(pairs / PAIRS_A_TASK), F.sum("c") / ROWS_A_TASK)
+    heavy = cut(each.groupBy("key").agg(F.when(pairs > 0, parts).alias("k")).where("k > 1"))
+    out = []
+    for least, parts in zip((1, *PARTS), PARTS, strict=False):
+        some = heavy.where(F.col("k") > least)
+        if n := some.count():
+            out.append((rows.sparkSession.sparkContext.broadcast(_filter_of(some.select(F.col("key").alias("id")), n)), parts))
+    discard(heavy)
+    return out
+
+
+def _part(rep: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (mix64(rep.view(U64) ^ U64(0x8EBC6AF09C88C6E3)) % parts.astype(U64)).astype(np.int64)
+
+
 def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """(a, b): pairs of one key that can link and are in different components; rows has key, rep, size, root, bits.
+    """(a, b): pairs of one key that can link and are in different components; rows, a written table, has key, rep, size, root, bits.
 
-    Bitmaps rule out what sizes and places can't before a pair is a row.
+    Bitmaps rule out what sizes and places can't before a pair is a row. In a
+    split list a row goes to the cell of its part with each part, and pairs are
+    taken where their parts meet: parts << 42 | one part << 21 | other.
     """
+    heavy = _heavy(rows)
 
-    def pairs(n, place, root, bits, i, j):
-        fit = (root[i] != root[j]) & _fit(n[i], place[i], n[j], place[j], t)
+    def deal(batches):
+        for batch in batches:
+            key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            parts = np.ones(len(key), np.int64)
+            for bits, k in heavy:
+                parts[_in_filter(bits.value, key)] = k
+            step = np.cumsum(parts) >> 16
+            cuts = [*np.flatnonzero(np.append(True, step[1:] != step[:-1])).tolist(), len(key)] if len(key) else [0]
+            for c, e in zip(cuts[:-1], cuts[1:], strict=True):
+                at = np.repeat(np.arange(c, e), parts[c:e])
+                k, own, other = parts[at], _part(rep[at], parts[at]), ragged(np.zeros(e - c, np.int64), parts[c:e])
+                cell = np.where(k > 1, k << 42 | np.minimum(own, other) << 21 | np.maximum(own, other), 0)
+                dealt = np.where(k > 1, mix64(key[at].view(U64) ^ mix64(cell.view(U64))).view(np.int64), key[at])
+                rest = [x.take(pa.array(at)) for x in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), *rest, pa.array(cell)], ["key", "rep", "size", "root", "bits", "cell"])
+
+    def pairs(n, place, bits, alone, side, i, j):
+        fit = _fit(n[i], place[i], n[j], place[j], t) & (alone[i] | (side[i] != side[j]))
         i, j = i[fit], j[fit]
         for c in range(0, len(i), LIST_STEP):
             u, v = i[c : c + LIST_STEP], j[c : c + LIST_STEP]
@@ -284,31 +326,39 @@ def _apart(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
             fit = t[1] * common >= t[0] * (n[u] + n[v] - common)
             yield u[fit], v[fit]
 
-    def emit(key, rep, size, root, bits, head=0):
+    def emit(key, rep, size, root, bits, cell, head=0):
         first, run = _runs(key)
         mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
         keep = mixed[run]
-        key, rep, size, root, bits = key[keep], rep[keep], size[keep], root[keep], bits[keep]
+        key, rep, size, root, bits, cell = (x[keep] for x in (key, rep, size, root, bits, cell))
         if not len(key):
             return
-        n, place = size & 0xFFFFFFFF, size >> 32
+        n, place, low = size & 0xFFFFFFFF, size >> 32, (1 << 21) - 1
+        alone, side = (cell >> 21 & low) == (cell & low), _part(rep, np.maximum(cell >> 42, 1)) == (cell & low)
         first, run = _runs(key)
         end = np.append(first[1:], len(key))
-        # each row with those after it in its list, some rows at a time
-        after = end[run] - np.arange(len(key)) - 1
+        # each row with those of later components in its list, some rows at a time; a list is sorted by component
+        same = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])))
+        later = np.repeat(np.append(same[1:], len(key)), np.diff(np.append(same, len(key))))
+        after = end[run] - later
         part = np.cumsum(after) >> 20
         cuts = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(key)]
         for c, e in zip(cuts[:-1], cuts[1:], strict=True):
             for w in range(0, int(after[c:e].max(initial=0)), 1 << 20):  # a row with a longer list than that: parts of it
                 here = np.clip(after[c:e] - w, 0, 1 << 20) if e - c == 1 else after[c:e]
-                for i, j in pairs(n, place, root, bits, np.repeat(np.arange(c, e), here), ragged(np.arange(c, e) + 1 + w, here)):
+                for i, j in pairs(n, place, bits, alone, side, np.repeat(np.arange(c, e), here), ragged(later[c:e] + w, here)):
                     if len(i):
                         one, other = rep[i], rep[j]
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, other)), pa.array(np.minimum(one, other))], ["a", "b"])
                 if e - c > 1:
                     break
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_in_runs(emit)), "a long, b long").distinct()
+    kind = "key long, rep long, size long, root long, bits binary, cell long"
+    dealt = rows.select("key", "rep", "size", "root", "bits").mapInArrow(tidy(deal), kind)
+    found = cut(dealt.repartition("key").sortWithinPartitions("key", "root").mapInArrow(tidy(_in_runs(emit)), "a long, b long").distinct())
+    for bits, _ in heavy:
+        bits.destroy()
+    return found
 
 
 def _filter_of(ids: DataFrame, many: int | None = None) -> np.ndarray:
@@ -559,9 +609,10 @@ def jaccard_components(docs: DataFrame, t: tuple[int, int] = (80, 100), id_col:
     links = linked(pairs)
     roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = classes.join(roots.withColumnRenamed("u", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    spread = listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root", "bits")
-    pairs = cut(_apart(spread, t))
+    spread = cut(listed.select("key", "node", "size", n).join(placed, ["node", "n"]).select("key", "rep", "size", "root", "bits"))
     discard(listed)
+    pairs = _apart(spread, t)
+    discard(spread)
     both = links.unionByName(linked(pairs))
     # rows of one doc_id with different texts are tied by it
     copies = each.where("n > 0 AND doc_id IS NOT NULL").join(classes, ["node", "n"]).where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
