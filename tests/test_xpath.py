@@ -216,3 +216,15 @@ def test_budgets():
         XPath(text)
         with pytest.raises(XPathSyntaxError):
             XPath(text, limits=strict)
+
+
+@pytest.mark.parametrize("expression,values", [("id(//watch)", ["  Ada \t of  Bergen ", "Ole"]), ("id('h4')", ["Ole"])])
+def test_id_sends_no_nodes_to_all_tasks(spark, tmp_path, expression, values):
+    """The few columns of nodes and IDs that id() joins look small at any size: they aren't broadcast."""
+    path = str(tmp_path / "crew")
+    shred(spark.createDataFrame([(1, CREW)], "doc_id long, xml string")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = XPath(expression).evaluate(Xml(nodes_of(rows), ids_of(rows)))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert [r["value"] for r in found.orderBy("pre").collect()] == values

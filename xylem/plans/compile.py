@@ -248,8 +248,9 @@ class Compiler:
         if self.ids is None:
             return NodeSet(self.nodes.where("false").select("doc_id", F.lit(0).alias("org"), *NODE_COLUMNS[1:]), by_doc)
         names = texts.select("doc_id", "org", F.explode(F.split("_text", "[ \t\r\n]+")).alias("id")).where("id <> ''").distinct()
-        hit = names.join(self.ids, ["doc_id", "id"]).select("doc_id", "org", "pre").distinct()
-        return NodeSet(hit.join(self.nodes, ["doc_id", "pre"]).select("doc_id", "org", *NODE_COLUMNS[1:]), by_doc)
+        # IDs and nodes grow with the collection, but the few columns of them that are left look small enough to be broadcast
+        hit = names.join(self.ids.hint("merge"), ["doc_id", "id"]).select("doc_id", "org", "pre").distinct()
+        return NodeSet(hit.join(self.nodes.hint("merge"), ["doc_id", "pre"]).select("doc_id", "org", *NODE_COLUMNS[1:]), by_doc)
 
     # a value for each context, from a node-set
 
