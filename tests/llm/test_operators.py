@@ -305,6 +305,28 @@ def test_suffix_dedup(docs, none, length):
     assert suffix_dedup.deduplicate(none).count() == 0
 
 
+def test_anchors_spread_over_ranges():
+    flat = np.random.default_rng(6).integers(97, 123, 200_000).astype(np.uint8)
+    fp = suffix_dedup.stretches(flat, np.array([0, len(flat)]))[3]
+    n = np.bincount((fp >> np.uint64(suffix_dedup.PRINT_BITS - 5)).astype(np.int64), minlength=32)
+    assert n.max() < 1.25 * n.mean() and n.min() > 0.75 * n.mean()
+
+
+def test_ranges_follow_what_is_sent():
+    assert suffix_dedup.plan_of(0, 0, 50) == (9, 1)
+    assert suffix_dedup.plan_of(10**7, 2 * 10**6, 50) == (9, 1)
+    assert suffix_dedup.plan_of(10**9, 2 * 10**8, 50) == (11, 1)
+    assert suffix_dedup.plan_of(10**9, 10**9, 50) == (13, 4)  # copies: overlapping stretches are four times the text
+
+
+def test_passes_find_the_same(docs, monkeypatch):
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    one = by_doc(suffix_dedup.deduplicate(docs))
+    monkeypatch.setattr(suffix_dedup, "plan_of", lambda *_: (9, 3))
+    three = by_doc(suffix_dedup.deduplicate(docs))
+    assert {i: [r[c] for c in columns] for i, r in one.items()} == {i: [r[c] for c in columns] for i, r in three.items()}
+
+
 def test_equal_strings_are_compared_by_bytes():
     flat = np.frombuffer(b"abcabcabdabc", np.uint8)
     begin, sizes, doc = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 3]), np.array([4, 2, 1, 3])

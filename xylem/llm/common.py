@@ -58,6 +58,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete shuffled files that no table refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def give_back() -> None:
     """Give what this Python worker has freed back to the system: workers outlive their stage, and an executor's stand beside its JVM."""
     _POWERS.clear()

@@ -5,7 +5,7 @@ document with a smaller doc_id. Four steps, none of which gathers the corpus:
 
 1. Anchors. Each window of LENGTH bytes has an anchor, the K-gram in it with
    the least hash, so equal windows have equal anchors at equal places. Each
-   task sends its anchors' fingerprints, sorted and packed, to their ranges;
+   task sends its anchors' fingerprints, mixed hashes, sorted and packed, to their ranges;
    a range finds those that two documents or more have, and sets bits for
    them in a filter of fixed size (FILTER_BITS). Where a corpus fills the
    filter, more is sent in step 2; results don't depend on it.
@@ -42,14 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from xylem.llm.common import U64, cut, discard, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes, tidy
+from xylem.llm.common import U64, cut, free_shuffles, mix64, powers, prefix_hash, ragged, slices, span_hash, text_bytes, tidy
 from xylem.llm.ngram_join import _filter_of, _in_filter
 
 LENGTH = 50
 K = 20
 PRINT_BITS = 40
-#: Ranges of fingerprints, 2**9 to 2**16 of them: as many as input partitions at least.
+#: Ranges of fingerprints, 2**9 to 2**16 of them: as many as input partitions at least in step 1; in steps 2 and 3 as many as keep a range's stretches at about RANGE_BYTES.
 RANGE_BITS = (9, 16)
+RANGE_BYTES = 8 << 20
+#: Steps 2 and 3 take the ranges in so many passes at most, where stretches, which overlap, are more than the text; what a pass has sent is deleted before the next one.
+PASSES = 4
 #: The filter's size, 64 MB: a slice of it for each range.
 SLOT_BITS = 29
 #: Fingerprints, and bytes of stretches, that a task holds before it sends them.
@@ -110,7 +113,8 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     last = np.flatnonzero(whole[:-1] & (np.append(new[1:], True) | ~whole[1:]))
     row = np.searchsorted(offsets, start, "right") - 1
     anchor = (low[start] & U64((1 << 28) - 1)).astype(np.int64)
-    return row, start, last, h[anchor] >> U64(64 - PRINT_BITS), anchor, prefix
+    # an anchor's hash is a least one: mixed again, fingerprints fill ranges and filter evenly
+    return row, start, last, mix64(h[anchor] ^ U64(0x5851F42D4C957F2D)) >> U64(64 - PRINT_BITS), anchor, prefix
 
 
 def string_hashes(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,8 +338,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             one = np.sort(np.concatenate(parts))
             value = np.unique(one[1:][one[1:] == one[:-1]])
             bits = np.zeros(1 << (SLOT_BITS - range_bits), bool)
-            bits[((value >> U64(PRINT_BITS - SLOT_BITS)) & U64(len(bits) - 1)).astype(np.int64)] = True
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["range", "bits"])
+            slot = lambda x: ((x >> U64(PRINT_BITS - SLOT_BITS)) & U64(len(bits) - 1)).astype(np.int64)
+            bits[slot(value)] = True
+            passing = sum(int(bits[slot(x)].sum()) for x in parts[::2])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([sum(map(len, parts[::2]))], pa.int64()), pa.array([passing], pa.int64())], ["range", "bits", "anchors", "passing"])
 
         for batch in batches:
             for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -351,9 +357,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ranges = docs.mapInArrow(tidy(prints), "range int, blob binary").repartition("range").sortWithinPartitions("range")
     filter_ = np.zeros((1 << range_bits, 1 << (SLOT_BITS - range_bits - 3)), np.uint8)
-    for r in ranges.mapInArrow(tidy(shared), "range int, bits binary").toLocalIterator():  # slices of a filter of fixed size
+    anchors = passing = 0
+    for r in ranges.mapInArrow(tidy(shared), "range int, bits binary, anchors long, passing long").toLocalIterator():  # slices of a filter of fixed size
         filter_[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+        anchors, passing = anchors + r["anchors"], passing + r["passing"]
+    del ranges
     sent = spark.sparkContext.broadcast(filter_.reshape(-1))
+    range_bits, passes = plan_of(anchors, passing, length)
+    out = None
+    for p in range(passes):
+        one = _pass(docs, length, sent, range_bits, p << range_bits, passes)
+        out = one if out is None else out.unionByName(one)
+        free_shuffles(spark)
+    sent.destroy()
+    return out
+
+
+def plan_of(anchors: int, passing: int, length: int) -> tuple[int, int]:
+    """Bits of ranges, and passes, for anchors that tasks have seen, and those of them that pass the filter."""
+    width = length - min(K, length) + 1
+    size = passing * (length + width // 2)
+    bits = min(max(RANGE_BITS[0], (size // RANGE_BYTES).bit_length()), RANGE_BITS[1])
+    # a new anchor comes each width / 2 bytes
+    return bits, min(max(1, round(size / max(1, anchors * (width // 2 + 1)))), PASSES)
+
+
+def _pass(docs: DataFrame, length: int, sent, range_bits: int, first: int, passes: int) -> DataFrame:
+    """Steps 2 and 3 for the ranges from first / passes on, one of `passes` parts of all; sent: the filter."""
+    low, high = first // passes, (first + (1 << range_bits)) // passes
+    below = U64(PRINT_BITS - range_bits)
 
     def collect(batches):
         held, size, spans = [], 0, _Spans()
@@ -386,6 +418,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 row, start, last, fp, anchor, prefix = stretches(flat, offsets, length)
                 slot = (fp >> U64(PRINT_BITS - SLOT_BITS)).astype(np.int64)
                 pass_ = (sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                if passes > 1:
+                    own = (fp >> below).astype(np.int64)
+                    pass_ &= (own >= low) & (own < high)
                 if not pass_.any():
                     continue
                 row, start, last, fp, anchor = (x[pass_] for x in (row, start, last, fp, anchor))
@@ -463,9 +498,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield out
 
     # a number of its own: what a range costs isn't told by its bytes, by which small partitions would be merged
-    out = cut(found.repartition(1 << range_bits - 2, "range").sortWithinPartitions("range").mapInArrow(tidy(expand), "doc_id long, runs binary"))
-    sent.destroy()
-    return out
+    return cut(found.repartition(max(1, high - low >> 2), "range").sortWithinPartitions("range").mapInArrow(tidy(expand), "doc_id long, runs binary"))
 
 
 def _kept(text: bytes, spans: np.ndarray) -> bytes:
