@@ -49,6 +49,16 @@ def test_errors(text, kind):
     assert e.value.kind == kind
 
 
+@pytest.mark.parametrize(
+    "text,kind",
+    [("<a>x&b</a>", "Unterminated"), ("<a>x & y<b/>; z</a>", "Unterminated"), ("<a>&#12</a>", "Unterminated"), ("<a x='1&b' y=';'/>", "Unterminated"), ("<a x='1'>&b</a>", "Unterminated"), ("<a>x & y; z</a>", "InvalidName"), ("<a x='1'>it& 's; z</a>", "InvalidName"), ("<a>&amp;<1></a>", "InvalidName"), ("<a><!--&a--><1/></a>", "InvalidName")],
+)
+def test_references_without_an_end(text, kind):
+    with pytest.raises(XmlError) as e:
+        shred_text(text)
+    assert e.value.kind == kind
+
+
 def test_limits():
     deep = "<a>" * 300 + "</a>" * 300
     for text, limits, kind in ((deep, Limits(), "DepthLimitExceeded"), ("<a><b/></a>", Limits(max_nodes=2), "TooManyNodes"), ("<a x='1' y='2'/>", Limits(max_attributes_per_element=1), "TooManyAttributes"), ("<a x='123'/>", Limits(max_attribute_size=2), "AttributeTooLarge"), ("<abc/>", Limits(max_name_length=2), "NameTooLong"), ("<a>abc</a>", Limits(max_text_length=2), "TextTooLong"), ("<a>abc</a>", Limits(max_document_bytes=3), "DocumentTooLarge")):
