@@ -229,3 +229,15 @@ def test_sql_functions(spark):
 @pytest.mark.parametrize("x,s", [(1.0, "1"), (-4.0, "-4"), (1.5, "1.5"), (9.99 + 7.5, "17.49"), (0.1 + 0.2, "0.3"), (float("inf"), "Infinity"), (-0.0, "0"), (1e20, "100000000000000000000"), (1e-7, "0.0000001"), (123456789.125, "123456789.125"), (1e22, "10000000000000000000000")])
 def test_number_format(x, s):
     assert format_number(x) == s
+
+
+def test_edit_shuffles_nodes_once(spark):
+    """Nodes and operations meet in one shuffle, in pieces of many rows, whatever the number of documents and pieces."""
+    docs = [(i, f"<a><b>{i}</b><c/></a>") for i in range(300)]
+    nodes = nodes_of(shred(spark.createDataFrame(docs, "doc_id long, xml string")))
+    script = spark.createDataFrame([(i, 1, "remove", 3, None, None, None, None) for i in range(0, 300, 3)] + [(1, 1, "remove", 99, None, None, None, None)], mutate.SCRIPT)
+    after = mutate.edit(nodes, script)
+    assert after._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert after._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r["doc_id"]: (r["value"], r["error_kind"]) for r in after.where("kind = 'root'").collect()}
+    assert got == {i: ("" if i % 3 == 0 else str(i), "Stale" if i == 1 else None) for i in range(300)}

@@ -24,7 +24,9 @@ with its error and keeps its old nodes.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,64 +261,119 @@ def _check_name(name: str | None) -> None:
 EDITED = f"{NODES}, error_seq int, error_kind string"
 
 
+#: Rows that a task packs at a time.
+PACKED_ROWS = 400_000
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+def _packed(df: DataFrame, schema: pa.Schema, buckets: int, is_script: bool) -> DataFrame:
+    """df's rows as compressed columns, a blob for each bucket of doc_id and PACKED_ROWS rows: a shuffle writes a fraction of what it would for rows."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def send():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            at = pc.fill_null(rows["doc_id"], 0).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            at = (at % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            rows, at = rows.take(pa.array(order)), at[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+                # taken again, so that a blob holds its own rows alone
+                part = rows.take(pa.array(np.arange(i, j))).combine_chunks().to_batches()[0]
+                data = part.serialize()
+                blob = pa.compress(data, codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([int(at[i])], pa.int32()), pa.array([is_script]), pa.array([data.size], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "is_script", "size", "blob"])
+            held.clear()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema))
+                size += batch.num_rows
+            if size >= PACKED_ROWS:
+                yield from send()
+                size = 0
+        if held:
+            yield from send()
+
+    return df.mapInArrow(run, "bucket int, is_script boolean, size long, blob binary")
+
+
 def edit(nodes: DataFrame, script: DataFrame) -> DataFrame:
     """nodes after the script, with error_seq and error_kind on the rows of documents whose script failed.
 
-    Documents without a script pass by without leaving the JVM; the others are
-    read in a stream of sorted rows, one document at a time.
+    Nodes and operations meet in buckets of documents, in one shuffle of
+    packed rows; a task reads a bucket at a time. Rows of documents without a
+    script pass by as columns.
     """
-    fields = [c.split() for c in SCRIPT.split(", ")]
-    ops = script.select(*(F.col(name).cast(kind).alias(f"e_{name}") for name, kind in fields))  # other names: a script is often made from the nodes
-    touched = ops.select(F.col("e_doc_id").alias("doc_id")).distinct()
-    some = nodes.select(*NODE_COLUMNS).join(touched, "doc_id", "left_semi")
-    rest = nodes.join(touched, "doc_id", "left_anti").selectExpr(*NODE_COLUMNS, "cast(null as int) AS error_seq", "cast(null as string) AS error_kind")
-    steps = [(f"e_{name}", kind) for name, kind in fields[1:]]
-    left = some.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in steps))
-    kinds = [c.split() for c in NODES.split(", ")]
-    right = ops.select(F.col("e_doc_id").alias("doc_id"), *(F.lit(None).cast(kind).alias(name) for name, kind in kinds[1:]), *(name for name, _ in steps))
-    rows = left.unionByName(right).repartition("doc_id").sortWithinPartitions("doc_id", F.col("e_seq").asc_nulls_first(), "pre")
-    names = [c.split()[0] for c in EDITED.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in EDITED.split(", ")])
+    spark = nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * parts
+    node_schema, script_schema, schema = _schema(NODES), _schema(SCRIPT), _schema(EDITED)
+    ops = script.select(*(F.col(name).cast(kind).alias(name) for name, kind in (c.split() for c in SCRIPT.split(", "))))
+    both = _packed(nodes.select(*NODE_COLUMNS), node_schema, buckets, False).unionByName(_packed(ops, script_schema, buckets, True))
+
+    def edited(at, before, edits):
+        tree, error = Tree(before), (None, None)
+        for o in edits:
+            try:
+                made = tree.apply(o["op"], o["target"], o["arg"], o["ns"], o["local"], o["value"])
+                if isinstance(made, dict):
+                    tree.nodes[-o["seq"]] = made
+            except NodeError as e:
+                error = (o["seq"], str(e))
+                break
+        if error[0] is None:
+            return [(at, *r, None, None) for r in tree.rows()]
+        return [(*(r[c] for c in NODE_COLUMNS), *error) for r in before]
 
     def run(batches):
-        at, before, edits, done = None, [], [], []
-
-        def close():
-            tree, error = Tree(before), (None, None)
-            for o in edits:
-                try:
-                    made = tree.apply(o["e_op"], o["e_target"], o["e_arg"], o["e_ns"], o["e_local"], o["e_value"])
-                    if isinstance(made, dict):
-                        tree.nodes[-o["e_seq"]] = made
-                except NodeError as e:
-                    error = (o["e_seq"], str(e))
-                    break
-            if error[0] is None:
-                done.extend((at, *r, None, None) for r in tree.rows())
-            else:
-                done.extend((*(r[c] for c in NODE_COLUMNS), *error) for r in before)
-
-        def table():
-            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], names)
-            done.clear()
-            return out
-
+        def table(done):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+
+        def close(found, steps):
+            rows = pa.Table.from_batches(found, node_schema)
+            steps = pa.Table.from_batches(steps, script_schema).sort_by([("doc_id", "ascending"), ("seq", "ascending")])
+            touched = pc.is_in(rows["doc_id"], value_set=steps["doc_id"].combine_chunks().drop_null(), skip_nulls=True)
+            rest = rows.filter(pc.invert(touched)).combine_chunks()
+            for batch in rest.to_batches(20_000):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.string())], schema=schema)
+            rows = rows.filter(touched).sort_by([("doc_id", "ascending"), ("pre", "ascending")])
+            steps = steps.filter(pc.is_valid(steps["doc_id"]))
+            node_ids, step_ids = rows["doc_id"].to_numpy(), steps["doc_id"].to_numpy()
+            ids = np.unique(step_ids)
+            n0, n1 = np.searchsorted(node_ids, ids), np.searchsorted(node_ids, ids, "right")
+            s0, s1 = np.searchsorted(step_ids, ids), np.searchsorted(step_ids, ids, "right")
+            done = []
+            for k in range(0, len(ids), 500):  # some documents' rows at a time
+                e = min(k + 500, len(ids)) - 1
+                nodes_, steps_ = rows.slice(n0[k], n1[e] - n0[k]).to_pylist(), steps.slice(s0[k], s1[e] - s0[k]).to_pylist()
+                for j in range(k, e + 1):
+                    done += edited(int(ids[j]), nodes_[n0[j] - n0[k] : n1[j] - n0[k]], steps_[s0[j] - s0[k] : s1[j] - s0[k]])
+                    if len(done) >= 20_000:
+                        yield table(done)
+                        done = []
+            if done:
+                yield table(done)
+
+        at, found, steps = None, [], []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["doc_id"] != at:
-                    if before or edits:
-                        close()
-                        if len(done) >= 20_000:
-                            yield table()
-                    at, before, edits = r["doc_id"], [], []
-                (before if r["e_seq"] is None else edits).append(r)
-        if before or edits:
-            close()
-        if done:
-            yield table()
-
-    return rest.unionByName(rows.mapInArrow(run, EDITED))
+            for bucket, is_script, size, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at and (found or steps):
+                    yield from close(found, steps)
+                    found, steps = [], []
+                at = bucket
+                data = pa.decompress(blob, decompressed_size=size, codec="zstd")
+                (steps if is_script else found).append(pa.ipc.read_record_batch(data, script_schema if is_script else node_schema))
+        if found or steps:
+            yield from close(found, steps)
+
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, EDITED)
 
 
 class Builder:
