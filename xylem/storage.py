@@ -24,5 +24,5 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """df as a Parquet table: lineage ends there, and scans read only the columns and partitions that a query needs."""
     path = shared_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
