@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import pickle
 import re
 import zlib
 from collections import defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from xylem.llm import embed_dedup, langid, ngram_join, packing, quality, secrets, sp_sampling, suffix_dedup, token_files, topk
@@ -336,6 +338,25 @@ def test_equal_strings_are_compared_by_bytes():
         assert same[0] == same[1] == same[3] != same[2] and sorted(order[first].tolist()) == [1, 2]
 
 
+def test_suffix_dedup_sends_a_packed_filter(spark, docs, monkeypatch):
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or broadcast(self, value))
+    suffix_dedup.repeated_spans(docs)
+    assert len(sent) == 1 and sent[0] < 1 << 20  # the filter of 64 MB is nearly empty here
+
+
+def test_suffix_dedup_filter():
+    fp = np.random.default_rng(3).integers(0, 1 << suffix_dedup.PRINT_BITS, 1000).astype(np.uint64)
+    bits = np.zeros(1 << suffix_dedup.SLOT_BITS, bool)
+    bits[(fp >> np.uint64(suffix_dedup.PRINT_BITS - suffix_dedup.SLOT_BITS)).astype(np.int64)] = True
+    parts = np.packbits(bits).reshape(512, -1)
+    sent = pickle.loads(pickle.dumps(suffix_dedup.Filter({r: zstandard.compress(x.tobytes()) for r, x in enumerate(parts) if x.any()}, 512)))
+    other = fp ^ np.uint64(1 << suffix_dedup.PRINT_BITS - 1)
+    slot = (other >> np.uint64(suffix_dedup.PRINT_BITS - suffix_dedup.SLOT_BITS)).astype(np.int64)
+    assert sent.has(fp).all() and (sent.has(other) == bits[slot]).all()
+
+
 def test_suffix_dedup_carries_columns(spark):
     line = "The quick brown fox jumps over the lazy dog, again and again and again."
     df = spark.createDataFrame([(2, f"a {line} b", "en"), (1, line, None), (3, line, "de"), (None, line, "x")], "doc_id long, text string, lang string")

@@ -298,6 +298,28 @@ def _compare(arrays: list[tuple], length: int, spans: _Spans) -> None:
     spans.add(doc[rows], start[rows] + a, start[rows] + b)
 
 
+class Filter:
+    """Bits for fingerprints, as packed slices of equal size, one for each range that has any; tasks unpack them.
+
+    The driver only passes the slices on: it never holds the whole filter,
+    which is nearly empty unless the corpus is large. What a worker unpacks goes with the broadcast.
+    """
+
+    def __init__(self, packed: dict[int, bytes], ranges: int):
+        self.packed, self.ranges = packed, ranges
+        self.bits: np.ndarray | None = None
+
+    def has(self, fp: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            bits = np.zeros((self.ranges, (1 << SLOT_BITS - 3) // self.ranges), np.uint8)
+            while self.packed:
+                r, data = self.packed.popitem()
+                bits[r] = np.frombuffer(zstandard.decompress(data), np.uint8)
+            self.bits = bits.reshape(-1)
+        slot = (fp >> U64(PRINT_BITS - SLOT_BITS)).astype(np.int64)
+        return (self.bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, runs): spans of bytes that go, in any number of rows a document; docs has doc_id and text."""
     spark = docs.sparkSession
@@ -309,13 +331,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         kept: list[np.ndarray] = []
 
         def send():
-            values, n = np.unique(np.concatenate(kept), return_counts=True)
+            values = np.concatenate(kept)
+            kept.clear()
+            values, n = np.unique(values, return_counts=True)
             # each value is in once for each document, or twice if a part has found two
             cuts = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=U64) << below)
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 v, m = values[cuts[r] : cuts[r + 1]], n[cuts[r] : cuts[r + 1]] > 1
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([pack(np.diff(v, prepend=U64(0)), np.packbits(m))], pa.binary())], ["range", "blob"])
-            kept.clear()
 
         for batch in batches:
             for run in slices(batch, 1, STEP_BYTES):
@@ -341,7 +364,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             slot = lambda x: ((x >> U64(PRINT_BITS - SLOT_BITS)) & U64(len(bits) - 1)).astype(np.int64)
             bits[slot(value)] = True
             passing = sum(int(bits[slot(x)].sum()) for x in parts[::2])
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary()), pa.array([sum(map(len, parts[::2]))], pa.int64()), pa.array([passing], pa.int64())], ["range", "bits", "anchors", "passing"])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary()), pa.array([sum(map(len, parts[::2]))], pa.int64()), pa.array([passing], pa.int64())], ["range", "bits", "anchors", "passing"])
 
         for batch in batches:
             for r, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -356,13 +379,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield close()
 
     ranges = docs.mapInArrow(tidy(prints), "range int, blob binary").repartition("range").sortWithinPartitions("range")
-    filter_ = np.zeros((1 << range_bits, 1 << (SLOT_BITS - range_bits - 3)), np.uint8)
+    found: dict[int, bytes] = {}
     anchors = passing = 0
-    for r in ranges.mapInArrow(tidy(shared), "range int, bits binary, anchors long, passing long").toLocalIterator():  # slices of a filter of fixed size
-        filter_[r["range"]] = np.frombuffer(r["bits"], np.uint8)
+    for r in ranges.mapInArrow(tidy(shared), "range int, bits binary, anchors long, passing long").toLocalIterator():  # packed slices of a filter of fixed size
+        found[r["range"]] = bytes(r["bits"])
         anchors, passing = anchors + r["anchors"], passing + r["passing"]
     del ranges
-    sent = spark.sparkContext.broadcast(filter_.reshape(-1))
+    sent = spark.sparkContext.broadcast(Filter(found, 1 << range_bits))
+    del found
     range_bits, passes = plan_of(anchors, passing, length)
     out = None
     for p in range(passes):
@@ -392,6 +416,7 @@ def _pass(docs: DataFrame, length: int, sent, range_bits: int, first: int, passe
 
         def send():
             doc, start, windows, fp, place, string, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()  # not beside what is made of it
             sizes = windows + length - 1
             begin = np.cumsum(sizes) - sizes
             order, _, first = _firsts(doc, string, flat, begin, sizes)
@@ -404,7 +429,6 @@ def _pass(docs: DataFrame, length: int, sent, range_bits: int, first: int, passe
                 k = keep[cuts[r] : cuts[r + 1]]
                 blob = pack(np.diff(fp[k], prepend=U64(0)), doc[k], start[k], windows[k].astype(np.uint16), place[k], flat[ragged(begin[k], sizes[k])])
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([blob], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], ["range", "blob", "doc_id", "runs"])
-            held.clear()
 
         def gone(least):
             if (out := spans.take(least)) is not None:
@@ -416,8 +440,7 @@ def _pass(docs: DataFrame, length: int, sent, range_bits: int, first: int, passe
             for run in slices(batch, 1, STEP_BYTES):
                 flat, offsets = text_bytes(run.column(1))
                 row, start, last, fp, anchor, prefix = stretches(flat, offsets, length)
-                slot = (fp >> U64(PRINT_BITS - SLOT_BITS)).astype(np.int64)
-                pass_ = (sent.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+                pass_ = sent.value.has(fp)
                 if passes > 1:
                     own = (fp >> below).astype(np.int64)
                     pass_ &= (own >= low) & (own < high)
@@ -443,6 +466,7 @@ def _pass(docs: DataFrame, length: int, sent, range_bits: int, first: int, passe
         def close():
             nonlocal size
             fp, doc, start, windows, place, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             sizes = windows.astype(np.int64) + length - 1
             begin = np.cumsum(sizes) - sizes
             string, right, left = string_hashes(flat, begin, sizes, place, length)
