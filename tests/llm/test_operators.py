@@ -4,6 +4,7 @@ import hashlib
 import io
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -14,7 +15,7 @@ import pytest
 import zstandard
 from tokenizers import Tokenizer
 
-from xylem.llm import embed_dedup, langid, ngram_join, packing, quality, secrets, sp_sampling, suffix_dedup, token_files, topk
+from xylem.llm import common, embed_dedup, langid, ngram_join, packing, quality, secrets, sp_sampling, suffix_dedup, token_files, topk
 from xylem.llm.bpe import WordCachedEncoder, encoder
 from xylem.llm.components import connected_components
 
@@ -338,6 +339,20 @@ def test_equal_strings_are_compared_by_bytes():
         assert same[0] == same[1] == same[3] != same[2] and sorted(order[first].tolist()) == [1, 2]
 
 
+def test_stretches_of_many_texts_take_little_memory():
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], ["doc_id", "text"])
+    common.powers(1)
+    tracemalloc.start()
+    try:
+        for run in common.slices(batch, 1, suffix_dedup.STEP_BYTES):
+            suffix_dedup.stretches(*suffix_dedup.text_bytes(run.column(1)))
+        assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_suffix_dedup_sends_a_packed_filter(spark, docs, monkeypatch):
     sent = []
     broadcast = type(spark.sparkContext).broadcast

@@ -59,8 +59,8 @@ SLOT_BITS = 29
 PRINTS_HELD, BYTES_HELD = 2_000_000, 16 << 20
 #: Spans that a task holds before it sends them.
 SPANS_HELD = 1_000_000
-#: Text worked on at a time: arrays of eight bytes a byte stay in the cache.
-STEP_BYTES = 1 << 20
+#: Text worked on at a time: its arrays, some 60 bytes a byte, stay in the cache and are little beside what a task holds.
+STEP_BYTES = 1 << 18
 #: Bytes in one suffix array; an anchor with more is one array.
 ARRAY_BYTES = 1 << 20
 
