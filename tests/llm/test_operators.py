@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import pickle
 import re
 import tracemalloc
@@ -413,6 +414,21 @@ def test_encoder_is_the_tokenizer():
             assert ids[bounds[i] : bounds[i + 1]].tolist() == encoded(tokenizer, t).tolist(), t
 
 
+def test_new_words_go_many_to_a_call():
+    """Words with white space inside aren't encoded one by one, and the library starts no threads beside a task's core."""
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    tokenizer, own, calls = Tokenizer.from_file(BPE), WordCachedEncoder(BPE, None), []
+    library = own._encode
+    own._encode = lambda texts: calls.extend(texts) or library(texts)
+    text = "first " + " ".join(f"'s{i},\nNext\x1c{i}\u3000é" if i % 2 else f"w{i}" for i in range(1500)) + " \n end\n x"
+    for texts in ([text, "", None], ["", None], [text + " Ġ Ġa", "x\n", "<|endoftext|> a"]):
+        ids, bounds = own.encode(pa.array(texts, pa.string()))
+        tokenizer.encode_special_tokens = True
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    assert len(calls) < 20
+
+
 def test_special_tokens_in_texts(spark):
     """Plain Tokenizer.encode(text, add_special_tokens=False), by the encoder and in the results of both operators."""
     tokenizer, end = Tokenizer.from_file(BPE), "<|endoftext|>"

@@ -10,7 +10,8 @@ these out of the text first, so that what stands before one ends there.
 
 from __future__ import annotations
 
-from itertools import repeat
+import os
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +20,25 @@ from tokenizers import Tokenizer
 
 from xylem.llm.common import ragged
 
+# a task has one core: the library's own threads only add to its CPU time and memory
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 WHITE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 #: A space between white space, or between white space and the end.
 UNSAFE = rf"{WHITE} (?:{WHITE}|$)"
+#: White space at an end of a word.
+EDGED = rf"^{WHITE}|{WHITE}$"
+#: What stands for a space in the vocabulary's tokens.
+SPACE = "Ġ"
 #: Words that a worker remembers, about 200 MB; beyond it, those met once are forgotten.
 REMEMBERED = 1_000_000
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The UTF-8 of strings, much quicker than to_pylist()."""
+    return column.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class WordCachedEncoder:
     """encode() gives the ids that Tokenizer.encode(text, add_special_tokens=False) gives, each text followed by end_id.
 
@@ -38,19 +51,22 @@ class WordCachedEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (t.special and special_as_text)]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.end_id, self.remembered = end_id, remembered
-        (self.newline,) = self._encode(["\n"])[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self._forget()
 
-    def _forget(self, words: list[str] = ()) -> None:
+    def _forget(self, words: list[bytes] = ()) -> None:
         """Forget words that were met once and aren't among these."""
-        kept = {w: self.known[w] for w in words if w in self.known} if words else {}
-        again = {w: k for w, k in self.known.items() if self.again[k]} if words else {}
-        if len(again) < self.remembered // 2:
-            kept |= again
+        kept = {w: self.known[w] for w in words if w in self.known}
+        if words:
+            again = self.again[np.fromiter(self.known.values(), np.int64, len(self.known))]
+            if np.count_nonzero(again) < self.remembered // 2:
+                kept |= compress(self.known.items(), again.tolist())
         at = np.array([0, *kept.values()], np.int64)
         starts, sizes = (self.starts[at], self.lengths[at]) if words else (None, None)
         flat = self.ids[ragged(starts, sizes)] if words else None
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
@@ -82,20 +98,19 @@ class WordCachedEncoder:
         return first
 
     def _learn(self, words: pa.Array) -> np.ndarray:
-        """Encode new words with a space before them; gives their entries. Those without white space go many to a call, a line each."""
-        odd = pc.or_(pc.match_substring_regex(words, WHITE), pc.equal(pc.binary_length(words), 0))
+        """Encode new words with a space before them; gives their entries. Those without white space at an end go many to a call: only their first ids begin with a space."""
+        odd = pc.or_(pc.match_substring_regex(words, EDGED), pc.equal(pc.binary_length(words), 0))
         entry = np.empty(len(words), np.int64)
         for mask, joined in ((pc.invert(odd), True), (odd, False)):
-            some = words.filter(mask).to_pylist()
+            some = byte_strings(words.filter(mask))
             if not some:
                 continue
             if joined:
-                lines = ["\n ".join(["", *some[i : i + 1000]]) for i in range(0, len(some), 1000)]
+                lines = [b" ".join([b"", *some[i : i + 1000]]).decode() for i in range(0, len(some), 1000)]
                 flat = np.concatenate([np.array(x, np.uint32) for x in self._encode(lines)])
-                breaks = np.flatnonzero(flat == self.newline)
-                at = self._append(np.delete(flat, breaks), np.diff(np.append(breaks, len(flat))) - 1)
+                at = self._append(flat, np.diff(np.append(np.flatnonzero(self.spaced[flat]), len(flat))))
             else:
-                at = self._store(self._encode([f" {w}" for w in some]))
+                at = self._store(self._encode([f" {w.decode()}" for w in some]))
             entry[mask.to_numpy(zero_copy_only=False)] = range(at, at + len(some))
             self.known.update(zip(some, range(at, at + len(some)), strict=True))
         return entry
@@ -113,7 +128,7 @@ class WordCachedEncoder:
         parts = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = byte_strings(coded.dictionary)
         if len(self.known) + len(words) + n > self.remembered:
             self._forget(words)
         entry = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
@@ -123,16 +138,19 @@ class WordCachedEncoder:
         heads = pc.if_else(unsafe, texts, pc.list_element(parts, 0)).to_pylist()
         mark, used = self.count, self.used
         first = self._store(self._encode(heads))
-        row = np.arange(n)
-        seq = np.zeros(bounds[-1] + n, np.int64)
-        seq[np.arange(bounds[-1]) + np.repeat(row, np.diff(bounds))] = entry[coded.indices.to_numpy()]
-        seq[bounds[:-1] + row] = first + row
-        seq[bounds[1:] + row] = 0
-        sizes = self.lengths[seq]
-        ids = self.ids[ragged(self.starts[seq], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
+        # this run's own words, then the end, then the heads: small beside all words, so taking from them is quick
+        own = np.concatenate([entry, [0], np.arange(first, first + n)])
+        sizes = self.lengths[own]
+        flat = self.ids[ragged(self.starts[own], sizes)]
         self.count, self.used = mark, used  # heads aren't kept
-        return ids, ends[np.concatenate([bounds[:-1] + row, [len(seq)]])]
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(sizes)])), pa.py_buffer(flat)])
+        row = np.arange(n, dtype=np.int32)
+        seq = np.insert(coded.indices.to_numpy(), bounds[1:], np.int32(len(entry)))
+        seq[bounds[:-1] + row] = len(entry) + 1 + row
+        taken = lists.take(pa.array(seq))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(seq) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2] or b"", np.uint32)[: ends[-1]]
+        return ids, ends[np.append(bounds[:-1] + row, len(seq))]
 
 
 _ENCODERS: dict[tuple, WordCachedEncoder] = {}
