@@ -609,6 +609,31 @@ def test_second_samples_of_a_long_unit(pieces):
     assert np.abs(cuts[0] - cuts[1]).max() < 0.2 and np.abs(cuts[0] - cuts[1]).mean() < 0.04
 
 
+def test_pieces_are_found_where_they_may_begin(pieces, monkeypatch):
+    """Arcs are all the pieces of a unit, by brute force over names; strings that no piece begins with aren't looked at further."""
+    sp, rng, hashed = pieces.processor, np.random.default_rng(3), []
+    own = sp_sampling.span_sum
+    monkeypatch.setattr(sp_sampling, "span_sum", lambda prefix, start, end: hashed.append(len(start)) or own(prefix, start, end))
+    words = ["", "the", "internationalisation", "▁▁", "zqxjzqxj", "日本語", "é" * 9, "\u0301\U0001f600", *("".join(rng.choice(list("aeinorst.é"), rng.integers(1, 12))) for _ in range(300))]
+    node_first, ends, cum, logp, back, token, _ = pieces.arcs(words)
+    assert sum(hashed) < 8 * sum(len(w) + 1 for w in words) and pieces.longest > 12
+    root = 0
+    for w, end in zip(words, ends.tolist(), strict=True):
+        unit = f"{sp_sampling.MARK}{w}"
+        for i in range(1, len(unit) + 1):
+            arc, got = int(node_first[root + i]), {}
+            while True:
+                got[int(back[arc]) - root] = int(token[arc])
+                if cum[arc] >= 1:
+                    break
+                arc += 1
+            ids = {a: sp.piece_to_id(unit[a:i]) for a in range(i)}
+            want = {a: k for a, k in ids.items() if sp.id_to_piece(k) == unit[a:i] and not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))}
+            bare = {} if i - 1 in want else {i - 1: ord(unit[i - 1]) + pieces.size}
+            assert got == bare | want, (w, i)
+        root = end + 1
+
+
 def test_samples_decode(spark, docs, none, pieces):
     rows = sp_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True).collect()
     texts = dict(ROWS)

@@ -36,7 +36,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import repeat
+from bisect import bisect_right
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from xylem.llm.common import U64, doc_frame, list_array, mix64, powers, ragged, slices, span_hash
+from xylem.llm.common import U64, doc_frame, list_array, mix64, powers, ragged, slices, span_hash, span_sum
 
 ALPHA = 1.0
 SAMPLES = 2
@@ -52,8 +53,8 @@ MARK = "▁"
 #: Distinct units whose lattices are built at once, and those that a worker keeps: about 150 MB.
 UNITS = 30_000
 REMEMBERED = 400_000
-#: A table of hashes that rejects most strings that are no pieces.
-SIEVE = 1 << 20
+#: Bits of the sizes of two tables by hash: pieces, and what pieces begin with.
+SIEVE = 20
 MASK = (1 << 64) - 1
 #: The precision of sums of probabilities: what other segmentations of a unit have below it counts as none.
 LEAST_MASS = 1e-14
@@ -61,6 +62,11 @@ LEAST_MASS = 1e-14
 RUN_BYTES = 5 << 20
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    """A hash's place in a table, by the high bits of a product."""
+    return ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - SIEVE)).astype(np.int64)
+
+
 class Lattices:
     """The lattices of distinct units in flat arrays: for each node, the arcs that end there with cumulated probabilities.
 
@@ -76,8 +82,20 @@ class Lattices:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.rooms: dict[str, np.ndarray] = {}
         for name, kind in self.KINDS.items():
-            setattr(self, name, np.empty(0, kind))
+            self.rooms[name] = np.empty(0, kind)
+            setattr(self, name, self.rooms[name])
+
+    def _extend(self, name: str, more: np.ndarray) -> None:
+        """Append to one of KINDS, in a room with some to spare: it is copied now and then only, and what isn't used yet takes no memory."""
+        have, room = getattr(self, name), self.rooms[name]
+        size = len(have) + len(more)
+        if size > len(room):
+            room = self.rooms[name] = np.empty(size * 3 // 2, room.dtype)
+            room[: len(have)] = have
+        room[len(have) : size] = more
+        setattr(self, name, room[:size])
 
     def learn(self, words: list[str]) -> np.ndarray:
         """The numbers of units, whose lattices are built where they are new."""
@@ -88,15 +106,11 @@ class Lattices:
             return self.learn(words)
         if len(new):
             some = [words[i] for i in new.tolist()]
-            own: dict[str, list[np.ndarray]] = {name: [getattr(self, name)] for name in self.KINDS}
-            nodes, arcs = len(self.first), len(self.cum)
             for i in range(0, len(some), UNITS):
+                nodes, arcs = len(self.first), len(self.cum)
                 first, ends, cum, logp, back, tok, n_tok = self.model.arcs(some[i : i + UNITS])
                 for name, x in zip(self.KINDS, (first + arcs, ends + nodes, cum, logp, back + nodes, tok, n_tok), strict=True):
-                    own[name].append(x.astype(self.KINDS[name]))
-                nodes, arcs = nodes + len(first), arcs + len(cum)
-            for name, x in own.items():
-                setattr(self, name, np.concatenate(x))
+                    self._extend(name, x)
             entry[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(some, entry[new].tolist(), strict=True))
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
@@ -121,7 +135,7 @@ class Lattices:
             at, node = at[more], node[more]
         return logp, steps
 
-    def draw_other(self, unit: int, paths: list[tuple[int, ...]], u: np.ndarray) -> tuple[float, tuple[int, ...]]:
+    def draw_other(self, unit: int, paths: list[tuple[int, ...]], u: list[float]) -> tuple[float, tuple[int, ...]]:
         """A segmentation (log-probability, arcs from the end) of a unit that is none of paths, in proportion to its probability.
 
         At each node an arc weighs its probability less that of the paths that go on through it.
@@ -140,8 +154,8 @@ class Lattices:
                 if self.cum[arc] >= 1:
                     break
                 arc += 1
-            sums = np.cumsum(weights)
-            pick = min(int(np.searchsorted(sums, float(u[step]) * sums[-1], "right")), int(np.flatnonzero(weights)[-1]))
+            sums = list(accumulate(weights))
+            pick = min(bisect_right(sums, u[step] * sums[-1]), max(k for k, x in enumerate(weights) if x))
             arc, own = arcs[pick], float(np.exp(self.logp[arcs[pick]]))
             left = [(p, x / own) for p, x in left if p[step] == arc]
             logp += float(self.logp[arc])
@@ -161,20 +175,31 @@ class Pieces:
         usable = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         rank = lambda i: min(-sp.get_score(i), n)
         self.byte_weight = -alpha * float(np.log(n + 2.7))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.sieve = np.zeros(SIEVE, bool)
+        self.begun = np.zeros(1 << SIEVE, bool)
         by: dict[int, list[int]] = {}
         for i in usable:
             if MARK in names[i].lstrip(MARK):
                 raise ValueError(f"piece {i} has a space mark inside: units can't be told apart")
             by.setdefault(len(names[i]), []).append(i)
+        hashes = []
         for length, ids in by.items():
             points = np.frombuffer("".join(names[i] for i in ids).encode("utf-32-le"), np.uint32)
             at = np.arange(len(ids)) * length
-            h = span_hash(self._prefix(points), at, at + length)
-            self.sieve[(h & U64(SIEVE - 1)).astype(np.int64)] = True
-            order = np.argsort(h)
-            self.tables[length] = h[order], np.array(ids)[order], np.array([-alpha * np.log(rank(i) + 2.7) for i in ids])[order]
+            prefix = self._prefix(points)
+            hashes.append(span_hash(prefix, at, at + length))
+            for k in range(1, length + 1):
+                self.begun[_slot(span_sum(prefix, at, at + k))] = True
+        self.longest = max(by)
+        # entry 0 is no piece
+        self.hashes = np.concatenate([[U64(0)], *hashes])
+        self.piece = np.array([0, *(i for ids in by.values() for i in ids)])
+        self.weight = np.array([0.0, *(-alpha * np.log(rank(i) + 2.7) for i in self.piece[1:].tolist())])
+        self.table, self.probes = np.zeros((1 << SIEVE) + n, np.int32), 1
+        for k, at in enumerate(_slot(self.hashes).tolist()[1:], 1):
+            probes = 1
+            while self.table[at]:
+                at, probes = at + 1, probes + 1
+            self.table[at], self.probes = k, max(self.probes, probes)
         surface = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.surface_size = np.array([len(x) for x in surface])
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
@@ -196,6 +221,20 @@ class Pieces:
         out = self.surface[ragged(self.surface_at[ids], self.surface_size[ids])].tobytes()
         return out[1:] if out[:1] == b" " else out
 
+    def _entries(self, h: np.ndarray) -> np.ndarray:
+        """The pieces with these hashes as places in self.piece, 0 for none."""
+        slot = _slot(h)
+        found = self.table[slot]
+        wrong = np.flatnonzero(self.hashes[found] != h)
+        for step in range(1, self.probes):
+            later = wrong[found[wrong] > 0]
+            if not len(later):
+                break
+            found[later] = self.table[slot[later] + step]
+            wrong = later[self.hashes[found[later]] != h[later]]
+        found[self.hashes[found] != h] = 0
+        return found
+
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Flat lattices of units: per node its first arc; the end nodes; per arc cumulated and log-probability, the node before, first token and number of tokens.
 
@@ -208,19 +247,23 @@ class Pieces:
         prefix, at = self._prefix(points), np.arange(len(points))
         starts, stops, tokens, weights = [], [], [], []
         covered = np.zeros(len(points), bool)
-        for length, (hashes, ids, weight) in sorted(self.tables.items(), reverse=True):  # longer pieces are likelier
-            here = at[at + length <= end] if length > 1 else at
-            h = span_hash(prefix, here, here + length)
-            maybe = np.flatnonzero(self.sieve[(h & U64(SIEVE - 1)).astype(np.int64)])
-            here, h = here[maybe], h[maybe]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            starts.append(here[hit])
-            stops.append(here[hit] + length)
-            tokens.append(ids[place[hit]])
-            weights.append(weight[place[hit]])
+        here = at
+        for length in range(1, self.longest + 1):  # only places where a piece of this length or more may begin
+            here = here[here + length <= end[here]]
+            h = span_sum(prefix, here, here + length)
+            going = np.flatnonzero(self.begun[_slot(h)])
+            here, h = here[going], h[going]
+            found = self._entries(mix64(h))
+            hit = np.flatnonzero(found)
+            found, start = found[hit], here[hit]
+            starts.append(start)
+            stops.append(start + length)
+            tokens.append(self.piece[found])
+            weights.append(self.weight[found])
             if length == 1:
-                covered[here[hit]] = True
+                covered[start] = True
+        for x in (starts, stops, tokens, weights):
+            x.reverse()  # longer pieces are likelier
         bare = at[~covered]
         n_bytes = 1 + (points[bare] >= 0x80) + (points[bare] >= 0x800) + (points[bare] >= 0x10000).astype(np.int64)
         start, stop = np.concatenate([*starts, bare]), np.concatenate([*stops, bare + 1])
@@ -239,7 +282,7 @@ class Pieces:
         total[roots] = 0
         nodes = to[first]
         place = nodes - roots[np.searchsorted(roots, nodes, "right") - 1]
-        by_place = np.argsort(place, kind="stable")
+        by_place = np.argsort(place.astype(np.min_scalar_type(place.max(initial=0))), kind="stable")  # of 16 bits it is quicker
         bounds = np.searchsorted(place[by_place], np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             some = by_place[a:b]
@@ -283,7 +326,8 @@ def units_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
             flat = flat.filter(pa.array(~np.repeat(empty, sizes)))
             sizes = np.where(empty, 0, sizes)
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much quicker than to_pylist()
+    return coded.indices.to_numpy().astype(np.int64), words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def _log1mexp(x: np.ndarray) -> np.ndarray:
@@ -307,10 +351,10 @@ def sample(pieces: Pieces, keys: np.ndarray, texts: pa.Array, k: int = SAMPLES,
     nth = np.arange(len(unit)) - np.repeat(bounds[:-1], sizes)
     base = mix64(keys.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
     occurrence = mix64(base[doc] + nth.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) if len(unit) else np.empty(0, U64)
-    by_unit = np.argsort(unit, kind="stable")
+    by_unit = np.argsort(unit)
 
     def draw(which, salt):
-        order = which[np.argsort(unit[which], kind="stable")] if len(which) < len(unit) else by_unit
+        order = which[np.argsort(unit[which])] if len(which) < len(unit) else by_unit
         logp, steps = lattice.draw(unit[order], mix64(occurrence[order] + U64(salt * 0x2545F4914F6CDD1D & MASK)))
         return order, logp, [(order[at], arc) for at, arc in steps]
 
@@ -359,11 +403,14 @@ def sample(pieces: Pieces, keys: np.ndarray, texts: pa.Array, k: int = SAMPLES,
             own = _arcs(steps, len(unit))
             # the unit where paths part is drawn among the others
             redrawn: dict[int, tuple[int, ...]] = {}
-            for d in alive.tolist():
+            spots = np.array([taken[d][0] for d in alive.tolist()], np.int64)
+            most = lattice.ends[unit[spots]] - lattice.starts[unit[spots]]  # a draw of its own for each step
+            nth_step = ragged(np.zeros(len(most), np.int64), most).astype(U64)
+            draws = _uniform(np.repeat(occurrence[spots], most) + nth_step * U64(0x9E6C63D0876A9A35) + U64((r << 32) + 7)).tolist()
+            stop = np.cumsum(most).tolist()
+            for d, a, b in zip(alive.tolist(), [0, *stop], stop, strict=False):
                 w, *drawn = taken[d]
-                most = int(lattice.ends[unit[w]] - lattice.starts[unit[w]])  # a draw of its own for each step
-                u = _uniform(np.full(most, occurrence[w]) + np.arange(most, dtype=U64) * U64(0x9E6C63D0876A9A35) + U64((r << 32) + 7))
-                logp[w], redrawn[w] = lattice.draw_other(int(unit[w]), [x for _, x in drawn], u)
+                logp[w], redrawn[w] = lattice.draw_other(int(unit[w]), [x for _, x in drawn], draws[a:b])
             arcs = _merge_arcs(own, parts, fresh, redrawn, len(unit))
             for d in alive.tolist():  # that node is spent; what is left of it belongs to the new path
                 paths[from_[d]]["bound"][where[d]] = -np.inf
@@ -407,14 +454,12 @@ def _segment_argmax(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _arcs(steps: list, n: int) -> list[np.ndarray]:
     """Arcs of each unit's segmentation in reading order, end to end by unit: arcs, starts, sizes."""
-    sizes = np.zeros(n, np.int64)
-    for at, _ in steps:
-        sizes[at] += 1
-    starts = np.cumsum(sizes) - sizes
+    sizes = np.bincount(np.concatenate([at for at, _ in steps]), minlength=n) if steps else np.zeros(n, np.int64)
+    ends = np.cumsum(sizes)
     out = np.empty(int(sizes.sum()), np.int64)
-    for k, (at, arc) in enumerate(steps):
-        out[starts[at] + sizes[at] - 1 - k] = arc
-    return [out, starts, sizes]
+    for k, (at, arc) in enumerate(steps, 1):
+        out[ends[at] - k] = arc
+    return [out, ends - sizes, sizes]
 
 
 def _merge_arcs(own, parts, fresh, redrawn, n):
