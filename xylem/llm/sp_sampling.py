@@ -59,7 +59,7 @@ MASK = (1 << 64) - 1
 #: The precision of sums of probabilities: what other segmentations of a unit have below it counts as none.
 LEAST_MASS = 1e-14
 #: Text sampled at a time: the more, the fewer distinct units a byte.
-RUN_BYTES = 5 << 20
+RUN_BYTES = 4 << 20
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
