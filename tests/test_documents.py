@@ -1,17 +1,20 @@
 """Shredding, encodings, limits, events, streaming, serialising and edits."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from xylem import queries as xml_queries
 from xylem.functions.register import register
 from xylem.functions.scalars import format_number
-from xylem.model import Limits, NodeError, XmlError
+from xylem.model import NODE_COLUMNS, Limits, NodeError, XmlError
 from xylem.operators import mutate
 from xylem.operators.serialise import Options, escape_attribute, escape_text, serialise, write_document
-from xylem.sources import encoding
-from xylem.sources.shred import docs_of, ids_of, nodes_of, shred, shred_bytes, shred_text
+from xylem.sources import encoding, plain
+from xylem.sources.shred import docs_of, ids_of, nodes_of, shred, shred_bytes, shred_text, shredded_batches
 from xylem.streaming.events import PushReader, events_of, read_events, stream_events
 
 NAMES = ["pre", "size", "level", "parent", "sib", "kind", "local", "ns_uri", "prefix", "value", "lang", "src_start", "src_end"]
@@ -241,3 +244,52 @@ def test_edit_shuffles_nodes_once(spark):
     assert after._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = {r["doc_id"]: (r["value"], r["error_kind"]) for r in after.where("kind = 'root'").collect()}
     assert got == {i: ("" if i % 3 == 0 else str(i), "Stale" if i == 1 else None) for i in range(300)}
+
+
+PLAIN = ["<a/>", "<a p='1'>t</a>", '<a p="1" q = "x y"><b>t</b>u<c r=""/><b>v<d/></b> </a >', "<a><b></a></b>", "<a><b/>", '<a p="1" p="2"/>', "<a>x&amp;y</a>", "<a>\n</a>", "<x:a/>", '<a xmlns="u"><b/></a>', "<a/><b/>", "<a>é</a>", "<!--c--><a/>", '<a p="<"/>', "<a>></a>", "", "<a></a> ", '<a p="1"q="2"/>', "<a>" + "t" * 9_000 + "</a>", "<1/>", "</a>", "<a><b><c>t</c></b><b>u<c/></b></a>"]
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(max_depth=2, max_nodes=9, max_attributes_per_element=1, max_attribute_size=2, max_text_length=2)])
+def test_plain_documents_are_read_as_the_parser_reads_them(limits):
+    """Many at a time, as columns; what isn't plain is left to the parser."""
+    found, nodes, n_nodes = plain.Parser(limits).parse(pa.array(range(len(PLAIN)), pa.int64()), pa.array(PLAIN))
+    one_by_one = [[[i, *r] for r in shred_text(PLAIN[i], limits).rows] for i in range(len(PLAIN)) if found[i]]
+    assert [list(r.values()) for r in nodes.to_pylist()] == sum(one_by_one, []) and n_nodes.tolist() == [len(x) for x in one_by_one]
+    assert [PLAIN[i] for i in range(len(PLAIN)) if found[i]] == [PLAIN[i] for i in ((0, 2, 21) if limits == Limits() else (0,))]
+
+
+def test_columns_are_edited_as_trees():
+    text = '<o k="1"><t>5</t><l><q>1</q><e/></l>x<l><q>2</q></l></o>'
+    n = len(shred_text(text).rows)
+    nodes = pa.Table.from_batches([x for x, _, _ in shredded_batches([pa.RecordBatch.from_arrays([pa.array(range(3 * n), pa.int64()), pa.array([text] * (3 * n))], ["doc_id", "xml"])], Limits())])
+    ops = [(d, s, op, (d // 3 + s * (d % 3)) % n, None, None, f"n{s}", ("", "v")[s % 2]) for d in range(3 * n) for s, op in enumerate(("set_attribute", "remove", "append_element", "append_element"))]
+    ops += [(0, 9, "detach", 3, None, None, None, None)]
+    schema = mutate._schema(mutate.SCRIPT)
+    script = lambda d: [dict(zip(schema.names, x, strict=True)) for x in ops if x[0] == d]
+    steps = pa.Table.from_pylist([x for d in range(3 * n) for x in script(d)], schema)
+    got = pa.Table.from_batches(list(mutate._edited_batches(nodes, steps)))
+    want = [x for d in range(3 * n) for x in mutate._edited_tree(d, [r for r in nodes.to_pylist() if r["doc_id"] == d], script(d))]
+    assert sorted((tuple(r.values()) for r in got.to_pylist()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+    at = np.arange(3 * n)
+    simple = mutate._simple(nodes.combine_chunks(), steps, at * n, (at + 1) * n, np.searchsorted(steps["doc_id"].to_numpy(), at), np.searchsorted(steps["doc_id"].to_numpy(), at, "right"))
+    assert 0 < simple.sum() < 3 * n
+
+
+def test_edit_documents_in_one_pass(spark, tmp_path):
+    """As edit() with a script made of the nodes, with nothing written and no shuffle; text that isn't plain is edited too."""
+    docs = [(1, "<a><b>1</b><b/><c/></a>"), (2, "<a><b>&lt;</b></a>"), (3, "<a>"), (4, "<c/>"), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, xml string")
+    steps = [mutate.Step(1, "remove", {"local": "b", "sib": 0}), mutate.Step(2, "set_attribute", {"local": "c"}, local="k", value="v")]
+    after = mutate.edit_documents(df, steps)
+    assert after._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    script = [(1, 1, "remove", 3, None, None, None, None), (1, 2, "set_attribute", 6, None, None, "k", "v"), (2, 1, "remove", 3, None, None, None, None), (4, 2, "set_attribute", 1, None, None, "k", "v")]
+    want = mutate.edit(nodes_of(shred(df)), spark.createDataFrame(script, mutate.SCRIPT))
+    key = lambda r: (r["doc_id"], r["pre"])
+    assert sorted(after.collect(), key=key) == sorted(want.collect(), key=key)
+    assert {(r["doc_id"], r["xml"]) for r in serialise(after.select(*NODE_COLUMNS)).select("doc_id", "xml").collect()} == {(1, '<a><b/><c k="v"/></a>'), (2, "<a/>"), (4, '<c k="v"/>')}
+    some = mutate.edit_documents(df, steps, ["doc_id", "local"])
+    assert some.columns == ["doc_id", "local"] and some.count() == after.count()
+
+
+def test_edit_documents_query_writes_no_nodes(spark):
+    assert {f.rsplit("/", 1)[-1] for f in xml_queries.edited(spark, "/root/testdata/sf0.001").inputFiles()} == {"orders.parquet", "lineitem.parquet"}

@@ -252,11 +252,12 @@ def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's total marked, its first line removed and a note added: what is left of each."""
-    nodes = collection(spark, sf_dir, "orders").nodes
-    first = nodes.where("local = 'line' AND sib = 1").selectExpr("doc_id", "1 AS seq", "'remove' AS op", "pre AS target", "cast(null as int) AS arg", "cast(null as string) AS ns", "cast(null as string) AS local", "cast(null as string) AS value")
-    mark = nodes.where("local = 'total'").selectExpr("doc_id", "2 AS seq", "'set_attribute' AS op", "pre AS target", "cast(null as int) AS arg", "cast(null as string) AS ns", "'checked' AS local", "'yes' AS value")
-    note = nodes.where("local = 'order' AND kind = 'element'").selectExpr("doc_id", "3 AS seq", "'append_element' AS op", "pre AS target", "cast(null as int) AS arg", "cast(null as string) AS ns", "'note' AS local", "cast(null as string) AS value")
-    after = mutate.edit(nodes, first.unionByName(mark).unionByName(note))
+    steps = [
+        mutate.Step(1, "remove", {"local": "line", "sib": 1}),
+        mutate.Step(2, "set_attribute", {"local": "total"}, local="checked", value="yes"),
+        mutate.Step(3, "append_element", {"local": "order", "kind": "element"}, local="note"),
+    ]
+    after = mutate.edit_documents(tables.orders(spark, sf_dir), steps, ["doc_id", "local", "error_kind"])
     count = lambda c: F.count_if(F.expr(c)).alias(c.split("'")[1])
     return after.groupBy("doc_id").agg(count("local = 'line'"), count("local = 'note'"), count("local = 'checked'"), F.max("error_kind").alias("error"))
 
